@@ -1,12 +1,14 @@
 """N-best SentencePiece segmentation: forward Viterbi scores guide a backward A-star search over the piece lattice.
 
 No piece has the space mark after another character, so a text falls into segments, each a run of space marks with what
-follows, and its lattice is the chain of the segments' lattices. Segments are searched once and kept; the N best of a text
-are searched over the chain, in which only the N - 1 segments whose second best is closest can differ from their best.
+follows, and its lattice is the chain of the segments' lattices. The forward pass keeps the two best scores of a segment;
+the N best of a text are searched over the chain, in which only the N - 1 segments whose second best is closest need to
+differ from their best.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ from .common import column, prepare, to_batch
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Segments kept in a worker, and letters of the longest that is kept.
-KEPT_SEGMENTS, KEPT_LETTERS = 60_000, 24
+KEPT_SEGMENTS, KEPT_LETTERS = 150_000, 32
 #: What a character without a piece costs below the least score of a piece.
 UNKNOWN_COST = 10.0
 
@@ -43,12 +45,21 @@ class Vocabulary:
     unknown: int
     longest: int = 0
     unknown_score: float = 0.0
-    kept: dict[str, list[Path]] = field(default_factory=dict)
+    key: str = ""
+    prefixes: dict[str, tuple[int, float] | bool] = field(default_factory=dict)  #: a piece's id and score; False for a mere prefix of one
+    pairs: set[str] = field(default_factory=set)  #: neighbours in pieces
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
-        # scores of pieces that training never chose are far below all others
+        # pieces that training never chose have a score far below all others, which would drown them in sums
         self.unknown_score = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - UNKNOWN_COST
+        self.pieces = {p: (i, max(s, self.unknown_score)) for p, (i, s) in self.pieces.items()}
+        for piece in self.pieces:
+            for k in range(1, len(piece)):
+                self.prefixes.setdefault(piece[:k], False)
+                self.pairs.add(piece[k - 1 : k + 1])
+        self.prefixes.update(self.pieces)
+        self.key = hashlib.sha256(repr((self.pieces, self.bytes_at, self.unknown)).encode()).hexdigest()
 
     @classmethod
     def load(cls, path: str = MODEL_PATH) -> Vocabulary:
@@ -70,9 +81,6 @@ class Vocabulary:
                 texts.append(text.encode())
         return cls(pieces, texts, bytes_at, model.unk_id())
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"kept": {}}
-
     def spelled(self, character: str) -> tuple[int, ...]:
         return (self.unknown,) if self.bytes_at is None else tuple(self.bytes_at + b for b in character.encode())
 
@@ -121,15 +129,78 @@ def search(ends: list[list[tuple[int, float, tuple[int, ...]]]], count: int) ->
     return found
 
 
-def segment_paths(segment: str, words: Vocabulary, count: int) -> list[Path]:
-    found = words.kept.get(segment)
-    if found is None or len(found[0]) and len(segment) > KEPT_LETTERS:
-        found = search(words.edges(segment), count)
-        if len(segment) <= KEPT_LETTERS:
-            if len(words.kept) >= KEPT_SEGMENTS:
-                words.kept.clear()
-            words.kept[segment] = found
-    return found
+#: The best way to spell a segment, and how much worse the second best is: (score, ids, gap).
+Best = tuple[float, tuple[int, ...], float]
+
+#: What a worker process keeps from task to task, of its last vocabulary: the best of segments and of their parts.
+_KEPT: dict[str, tuple[dict[str, Best], dict[str, Best]]] = {}
+
+
+def _kept(words: Vocabulary) -> tuple[dict[str, Best], dict[str, Best]]:
+    kept = _KEPT.get(words.key)
+    if kept is None or max(map(len, kept)) > KEPT_SEGMENTS:
+        _KEPT.clear()
+        kept = _KEPT[words.key] = {}, {}
+    return kept
+
+
+def _part_best(text: str, words: Vocabulary) -> Best:
+    """Forward Viterbi over a part, with the two best scores at each place."""
+    size, table, reach, low = len(text), words.prefixes, words.longest, float("-inf")
+    first, second = [low] * (size + 1), [low] * (size + 1)
+    first[0] = 0.0
+    back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (size + 1)
+    for begin in range(size):
+        one, two, single = first[begin], second[begin], False
+        for end in range(begin + 1, min(size, begin + reach) + 1):
+            found = table.get(text[begin:end])
+            if found is None:
+                break
+            if found:
+                single |= end == begin + 1
+                score = one + found[1]
+                if score > first[end]:
+                    second[end] = max(first[end], two + found[1])
+                    first[end] = score
+                    back[end] = begin, (found[0],)
+                elif score > second[end]:
+                    second[end] = score
+        if not single:
+            score, end = one + words.unknown_score, begin + 1
+            if score > first[end]:
+                second[end] = max(first[end], two + words.unknown_score)
+                first[end] = score
+                back[end] = begin, words.spelled(text[begin])
+            elif score > second[end]:
+                second[end] = score
+    spelled, at = [], size
+    while at:
+        spelled.append(back[at][1])
+        at = back[at][0]
+    return first[size], tuple(chain.from_iterable(reversed(spelled))), first[size] - second[size]
+
+
+def segment_best(segment: str, words: Vocabulary) -> Best:
+    """The best of a segment, put together from its parts between places that no piece spans."""
+    segments, parts = _kept(words)
+    score, ids, gap, start = 0.0, [], float("inf"), 0
+    pairs = words.pairs
+    for end in range(1, len(segment) + 1):
+        if end == len(segment) or segment[end - 1 : end + 1] not in pairs:
+            part = segment[start:end]
+            found = parts.get(part)
+            if found is None:
+                found = _part_best(part, words)
+                if len(part) <= KEPT_LETTERS:
+                    parts[part] = found
+            score += found[0]
+            ids += found[1]
+            gap = min(gap, found[2])
+            start = end
+    best = score, tuple(ids), gap
+    if len(segment) <= KEPT_LETTERS:
+        segments[segment] = best
+    return best
 
 
 @dataclass
@@ -146,28 +217,29 @@ def encode(text: str | None, words: Vocabulary, count: int = N_BEST) -> Encoding
     if not text:
         return Encoding([], 0.0, [])
     segments = _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-    get = words.kept.get
-    paths = [get(s) or segment_paths(s, words, count) for s in segments]
-    ids = list(chain.from_iterable([p[0][1] for p in paths]))
-    score = sum([p[0][0] for p in paths])
+    get = _kept(words)[0].get
+    best = [get(s) or segment_best(s, words) for s in segments]
+    ids = list(chain.from_iterable([b[1] for b in best]))
+    score = sum([b[0] for b in best])
     if count < 2:
         return Encoding(ids, score, [])
-    gaps = [(p[0][0] - p[1][0], k) for k, p in enumerate(paths) if len(p) > 1]
+    gaps = [(b[2], k) for k, b in enumerate(best) if b[2] < float("inf")]
     close = sorted(k for _, k in heapq.nsmallest(count - 1, gaps))
-    # the chain of the close segments, as a lattice: its ids are (segment, path) numbers
+    # the chain of the close segments' own N best, as a lattice: its ids are (segment, path) numbers
+    paths = {k: search(words.edges(segments[k]), count) for k in close}
     ends: list = [[]]
     for n, k in enumerate(close):
         ends.append([(n, path[0] - paths[k][0][0], ((k, i),)) for i, path in enumerate(paths[k])])
+    starts, at = {}, 0
+    for k, b in enumerate(best):
+        if k in paths:
+            starts[k] = at
+        at += len(b[1])
     others = []
-    starts: dict[int, int] = {}
-    if close:
-        at, wanted = 0, set(close)
-        for k, p in enumerate(paths):
-            if k in wanted:
-                starts[k] = at
-            at += len(p[0][1])
     for less, choice in search(ends, count):
-        if changes := [(starts[k], len(paths[k][0][1]), list(paths[k][i][1])) for k, i in choice if i]:
+        # a segment's first path may differ from its best where their scores are equal
+        changes = [(starts[k], len(best[k][1]), list(paths[k][i][1])) for k, i in choice if paths[k][i][1] != best[k][1]]
+        if changes:
             others.append((score + less, changes))
     return Encoding(ids, score, others[: count - 1])
 

@@ -1,14 +1,15 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks.
 
 The kernel of two strings compares their gapped subsequences of three characters, start and end marks included: each
-counts by DECAY to the power of its gaps, up to a longest span, so inserted characters cost little. It is divided by the
-norm that strings of these lengths have at least, which keeps it a kernel. The instances are the tokens of sentences; a
-document's margin is the largest of its tokens', as one insult makes a text toxic. The machine is linear in the Nyström
-features, so after training every subsequence has one weight and a token's margin is a sum of weights.
+counts by DECAY to the power of its gaps, up to a longest span, so inserted characters cost little. It is divided by the norm
+that strings of these lengths have at least and put through an exponential, which both keep it a kernel; the latter makes
+near misses count little. The instances are the tokens of sentences; a document's margin is the largest of its tokens',
+as one insult makes a text toxic.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -20,18 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fold, prepare
+from .common import column, fold, prepare, written
 
-#: Weight of a gap, and the most characters that a subsequence of three spans.
-DECAY, SPAN = 0.55, 6
+#: Weight of a gap, the most characters that a subsequence of three spans, and the width of the exponential.
+DECAY, SPAN, WIDTH = 0.55, 6, 0.2
 #: Landmarks of either label.
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 72, 24
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 48
 #: Labelled documents of each label that the model is fitted on, at most, and tokens without an insult.
 TOXIC_ROWS, CLEAN_ROWS, CLEAN_TOKENS = 4000, 12000, 20000
 #: Tokens longer than this are judged by pieces that overlap by half.
 LONGEST = 40
 #: Tokens whose margins a worker keeps.
-KEPT_TOKENS = 150_000
+KEPT_TOKENS = 300_000
 
 _STEPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a) if a + b < SPAN]
 _EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’„…–—*#$%&|/\\+=~^_-"
@@ -101,18 +102,62 @@ def _clean(words: list[str]) -> list[str]:
 
 
 @dataclass
-class Model:
-    """Weights of subsequences, the bias, and the sigmoid that makes margins scores."""
+class Landmarks:
+    """The landmarks' subsequences, sorted, and their weights by landmark, divided by the landmarks' norms."""
 
     alphabet: _Alphabet
+    known: np.ndarray
+    matrix: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Landmarks:
+        alphabet = _Alphabet.of(words)
+        rows, codes, weights = [], [], []
+        for word, code, weight in alphabet.features(words):
+            rows.append(word), codes.append(code), weights.append(np.full(len(code), weight))
+        known, place = np.unique(np.concatenate(codes), return_inverse=True)
+        matrix = np.zeros((len(known), len(words)), np.float32)
+        np.add.at(matrix, (place, np.concatenate(rows)), np.concatenate(weights))
+        return cls(alphabet, known, matrix / _norms(np.array([len(w) for w in words])).astype(np.float32))
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Kernel values of words against the landmarks."""
+        out = np.zeros((len(words), self.matrix.shape[1]), np.float32)
+        for word, code, weight in self.alphabet.features(words):
+            place = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
+            hit = self.known[place] == code
+            if hit.any():
+                word, place = word[hit], place[hit]
+                starts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
+                out[word[starts]] += np.add.reduceat(self.matrix[place] * np.float32(weight), starts)
+        out /= _norms(np.array([len(w) for w in words])).astype(np.float32)[:, None]
+        return np.exp((np.minimum(out, 1) - 1) / WIDTH)
+
+
+#: Margins of tokens by model: a worker process keeps those of its last model from task to task.
+_KEPT: dict[str, dict[str, float]] = {}
+
+
+def _kept(key: str) -> dict[str, float]:
+    if key not in _KEPT or len(_KEPT[key]) > KEPT_TOKENS:
+        _KEPT.clear()
+        _KEPT[key] = {}
+    return _KEPT[key]
+
+
+@dataclass
+class Model:
+    """Landmarks with the machine's weights in their span, the bias, and the sigmoid that makes margins scores."""
+
+    landmarks: Landmarks
     weights: np.ndarray
     bias: float
     slope: float = 1.0
     shift: float = 0.0
-    kept: dict[str, float] = field(default_factory=dict)
+    key: str = field(init=False)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"kept": {}}
+    def __post_init__(self) -> None:
+        self.key = hashlib.sha256(self.weights.tobytes() + self.landmarks.matrix.tobytes()).hexdigest()
 
     def token_margins(self, tokens: list[str]) -> np.ndarray:
         if not tokens:
@@ -123,10 +168,7 @@ class Model:
                 words.append(piece)
                 owner.append(k)
         words = _clean(words)
-        sums = np.zeros(len(words))
-        for word, code, weight in self.alphabet.features(words):
-            sums += np.bincount(word, self.weights[code] * weight, len(words))
-        margins = sums / _norms(np.array([len(w) for w in words])) + self.bias
+        margins = np.concatenate([self.landmarks.kernel(words[at : at + 2000]) @ self.weights for at in range(0, len(words), 2000)]) + self.bias
         out = np.full(len(tokens), -np.inf)
         np.maximum.at(out, owner, margins)
         return out
@@ -134,9 +176,7 @@ class Model:
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """The largest margin among each text's tokens; of a text without tokens, the bias (what a token without any shared subsequence has)."""
         tokens = [tokens_of(t) for t in texts]
-        if len(self.kept) > KEPT_TOKENS:
-            self.kept.clear()
-        kept = self.kept
+        kept = _kept(self.key)
         fresh = list({t for ts in tokens for t in ts if t not in kept})
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
@@ -147,30 +187,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
-def _gram(alphabet: _Alphabet, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the landmarks: (subsequence numbers, a matrix of their normalised weights by landmark)."""
-    rows, codes, weights = [], [], []
-    for word, code, weight in alphabet.features(landmarks):
-        rows.append(word), codes.append(code), weights.append(np.full(len(code), weight))
-    known, place = np.unique(np.concatenate(codes), return_inverse=True)
-    matrix = np.zeros((len(known), len(landmarks)))
-    np.add.at(matrix, (place, np.concatenate(rows)), np.concatenate(weights))
-    return known, matrix / _norms(np.array([len(w) for w in landmarks]))
-
-
-def _kernel(alphabet: _Alphabet, known: np.ndarray, matrix: np.ndarray, words: list[str]) -> np.ndarray:
-    """Kernel values of words against the landmarks."""
-    out = np.zeros((len(words), matrix.shape[1]))
-    for word, code, weight in alphabet.features(words):
-        place = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        hit = known[place] == code
-        if hit.any():
-            word, place = word[hit], place[hit]
-            starts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
-            out[word[starts]] += np.add.reduceat(matrix[place] * weight, starts)
-    return out / _norms(np.array([len(w) for w in words]))[:, None]
-
-
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 20.0, rounds: int = 40) -> np.ndarray:
     """Primal L2 support vector machine by Newton steps; the last column of x is the bias."""
     w = np.zeros(x.shape[1])
@@ -193,29 +209,27 @@ def _variants(word: str) -> list[str]:
 
 
 def train_tokens(toxic: dict[str, int], clean: list[str]) -> Model:
-    """A machine from tokens of toxic sentences (with their counts) and tokens of clean ones; it has no sigmoid yet."""
-    order = sorted(toxic, key=lambda w: (-toxic[w], w))
-    toxic_words, clean_words = _clean(order), _clean(sorted({w for w in clean if w not in toxic and len(w) <= LONGEST}))
-    marks: list[str] = []
-    for word in toxic_words:
-        if len(marks) < TOXIC_LANDMARKS and len(word) <= LONGEST:
-            marks.append(word)
-    step = max(1, len(clean_words) // CLEAN_LANDMARKS)
-    marks += clean_words[::step][:CLEAN_LANDMARKS]
-    alphabet = _Alphabet.of(marks)
-    known, matrix = _gram(alphabet, marks)
-    values, vectors = np.linalg.eigh(matrix.T @ matrix)
-    use = values > 1e-6 * values.max()
+    """A machine from tokens of toxic sentences (with their counts) and tokens of clean ones; it has no sigmoid yet.
+
+    The clean landmarks are the clean tokens that come closest to the toxic ones.
+    """
+    marks = _clean([w for w in sorted(toxic, key=lambda w: (-toxic[w], w)) if len(w) <= LONGEST])
+    clean_words = _clean(sorted({w for w in clean if w not in toxic and len(w) <= LONGEST}))
+    positive = [v for w in marks for v in _variants(w)]
+    first = Landmarks.of(marks[:TOXIC_LANDMARKS])
+    near = np.argsort(-first.kernel(clean_words).max(axis=1), kind="stable")[:CLEAN_LANDMARKS] if clean_words else []
+    landmarks = Landmarks.of(marks[:TOXIC_LANDMARKS] + [clean_words[k] for k in near])
+    own = landmarks.kernel(marks[:TOXIC_LANDMARKS] + [clean_words[k] for k in near])
+    values, vectors = np.linalg.eigh((own + own.T).astype(float) / 2)
+    use = values > 1e-4 * values.max()
     root = vectors[:, use] / np.sqrt(values[use])
-    positive = [v for w in toxic_words if len(w) <= LONGEST for v in _variants(w)]
-    kernel = _kernel(alphabet, known, matrix, positive + clean_words)
+    kernel = landmarks.kernel(positive + clean_words)
     x = np.concatenate([kernel @ root, np.ones((len(kernel), 1))], axis=1)
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(clean_words))])
-    weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(clean_words))) * len(y) / 2
+    # a text has hundreds of tokens, so a clean token that is taken for an insult costs more than its share
+    weight = np.where(y > 0, 1.0, max(0.05, len(positive) / max(1, len(clean_words))))
     w = _svm(x, y, weight)
-    table = np.zeros(alphabet.size**3, np.float32)
-    table[known] = matrix @ (root @ w[:-1])
-    return Model(alphabet, table, float(w[-1]))
+    return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]))
 
 
 def _sigmoid(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -278,8 +292,6 @@ def fit(
             )
 
     sums = sample.mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    from .common import written
-
     sums = written(sums, "tokens")
     whole = sums.filter("token is null").first()
     n1, n0 = (whole["toxic"], whole["clean"]) if whole else (0, 0)
