@@ -80,6 +80,9 @@ def text_measures(docs: DataFrame, id_col: str, text_col: str, host_col: str, ke
         F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long"))
         .otherwise(_repeated_words(F.col("windows")))
         .alias("n_repeat_words"),
+        # a filter on what is made of these measures stays above a projection that isn't deterministic; below it, the
+        # optimizer would put the whole of the measures into the filter, several times over
+        F.spark_partition_id().alias("part"),
     )
 
 
@@ -154,7 +157,7 @@ def quality_rules(
         "base_failed",
         "n_removed_words",
         "depleted",
-        (~F.col("base_failed") & ~F.col("depleted")).alias("kept"),
+        (~F.col("base_failed") & ~F.col("depleted") & (F.col("part") >= 0)).alias("kept"),
         "clean_text",
         *[F.col("keep").getField(c).alias(c) for c in keep],
     )

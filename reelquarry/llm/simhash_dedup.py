@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, prepare, utf8, written
@@ -52,14 +52,19 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp: the fingerprint as a signed long) for each row."""
+    """(id, fp: the fingerprint as a signed long, text_hash) for each row."""
     prepare(docs.sparkSession)
-    rows = docs.select(column(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "id long, fp long")
+    rows = docs.select(column(id_col).cast("long").alias("id"), utf8(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, "id long, fp long, text_hash long")
+
+
+def text_hash(text_col: str) -> Column:
+    """A hash of the text, another one for null than for the empty text."""
+    return F.xxhash64(column(text_col).cast("string"), F.lit(5))
 
 
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +174,13 @@ def link_edges(distinct: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges, "a long, b long").distinct()
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """(fp, least: the smallest id that has it, root: a fingerprint that stands for its component)."""
+    least = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = connected_components(link_edges(least.select("fp"))).withColumnRenamed("node", "fp")
+    return written(least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id column, fingerprint: 16 lowercase hex digits, component_id: the smallest id reachable over links) for each row.
 
@@ -178,11 +190,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored, whatever their names. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    least = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = connected_components(link_edges(least.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints)
     reached = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(rooted.join(reached, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash) of one row of each component: that with the smallest id, then the smallest hash; null ids come last."""
+    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    first = prints.groupBy("fp").agg(F.min(order).alias("row"))
+    chosen = first.join(_rooted(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return written(chosen.select("row.id", "row.text_hash"), "representatives")
