@@ -28,7 +28,7 @@ DECAY, SPAN, WIDTH = 0.55, 6, 0.2
 #: Landmarks of either label.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 48
 #: Labelled documents of each label that the model is fitted on, at most, and tokens without an insult.
-TOXIC_ROWS, CLEAN_ROWS, CLEAN_TOKENS = 4000, 12000, 20000
+TOXIC_ROWS, CLEAN_ROWS, CLEAN_TOKENS = 4000, 12000, 12000
 #: Tokens longer than this are judged by pieces that overlap by half.
 LONGEST = 40
 #: Tokens whose margins a worker keeps.
@@ -36,23 +36,32 @@ KEPT_TOKENS = 300_000
 
 _STEPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a) if a + b < SPAN]
 _EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’„…–—*#$%&|/\\+=~^_-"
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){3,}[^\W\d_](?![^\W_])")
-_PART = re.compile(r"[ .\-_*]+")
+_JOINED = re.compile(r"(?:[^\W\d_][.\-_*]{1,2}){3,}[^\W\d_]")
+_SIGNS = re.compile(r"[.\-_*]+")
+#: Single letters in a row that are one spelled-out word.
+_SPELLED = 4
 
 
-def tokens_of(text: str | None) -> list[str]:
+def tokens_of(text: str | None) -> set[str]:
     """Distinct tokens of a whole text in lower case: parts between white space without signs at their ends, and spelled-out words."""
     if not text:
-        return []
-    text = text.lower()
-    found = {t.strip(_EDGES) for t in set(text.split())}
-    found.update(_PART.sub("", m) for m in _SPELLED.findall(text))
+        return set()
+    parts = text.lower().split()
+    found = {t.strip(_EDGES) for t in set(parts)}
+    lengths = list(map(len, parts))
+    if lengths.count(1) >= _SPELLED:
+        letters = "".join([t if n == 1 and t.isalpha() else " " for t, n in zip(parts, lengths, strict=True)])
+        found.update(t for t in letters.split() if len(t) >= _SPELLED)
     found.discard("")
-    return list(found)
+    return found
 
 
 def _pieces(token: str) -> list[str]:
-    return [token] if len(token) <= LONGEST else [token[k : k + LONGEST] for k in range(0, len(token) - LONGEST // 2, LONGEST // 2)]
+    """What of a token is judged: it, or parts of a very long one; and its letters alone if signs part each from the next."""
+    parts = [token] if len(token) <= LONGEST else [token[k : k + LONGEST] for k in range(0, len(token) - LONGEST // 2, LONGEST // 2)]
+    if len(token) <= 2 * LONGEST and _JOINED.fullmatch(token):
+        parts.append(_SIGNS.sub("", token)[:LONGEST])
+    return parts
 
 
 def _norms(lengths: np.ndarray) -> np.ndarray:
@@ -73,18 +82,20 @@ class _Alphabet:
     def of(cls, words: list[str]) -> _Alphabet:
         return cls({c: k + 3 for k, (c, _) in enumerate(Counter("".join(words)).most_common(120))})
 
-    @property
-    def size(self) -> int:
-        return len(self.letters) + 3
+    def __post_init__(self) -> None:
+        self.size = len(self.letters) + 3
+        self.table = np.zeros(0x110000, np.uint8)
+        for c, k in self.letters.items():
+            self.table[ord(c)] = k
+
+    def __reduce__(self) -> tuple:
+        return _Alphabet, (self.letters,)
 
     def features(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """(word numbers, subsequence numbers, weight) for each pair of steps."""
         flat = "\x02".join(f"\x00{w}\x01" for w in words)
-        table = np.zeros(0x110000, np.int64)
-        for c, k in self.letters.items():
-            table[ord(c)] = k
         points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = table[points]
+        codes = self.table[points].astype(np.int64)
         codes[points == 0], codes[points == 1] = 1, 2
         word = np.cumsum(points == 2)
         for a, b in _STEPS:
@@ -120,17 +131,25 @@ class Landmarks:
         np.add.at(matrix, (place, np.concatenate(rows)), np.concatenate(weights))
         return cls(alphabet, known, matrix / _norms(np.array([len(w) for w in words])).astype(np.float32))
 
+    def __post_init__(self) -> None:
+        row, self.column = np.nonzero(self.matrix)
+        self.weight = self.matrix[row, self.column]
+        self.start = np.searchsorted(row, np.arange(len(self.known) + 1))
+
     def kernel(self, words: list[str]) -> np.ndarray:
-        """Kernel values of words against the landmarks."""
-        out = np.zeros((len(words), self.matrix.shape[1]), np.float32)
+        """Kernel values of words against the landmarks. A subsequence is in few landmarks, so only those are added up."""
+        tokens, places, weights = [], [], []
         for word, code, weight in self.alphabet.features(words):
             place = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
             hit = self.known[place] == code
-            if hit.any():
-                word, place = word[hit], place[hit]
-                starts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1])
-                out[word[starts]] += np.add.reduceat(self.matrix[place] * np.float32(weight), starts)
-        out /= _norms(np.array([len(w) for w in words])).astype(np.float32)[:, None]
+            tokens.append(word[hit]), places.append(place[hit]), weights.append(np.full(int(hit.sum()), weight))
+        token, place, weight = np.concatenate(tokens), np.concatenate(places), np.concatenate(weights)
+        count = self.start[place + 1] - self.start[place]
+        entry = np.arange(count.sum()) + np.repeat(self.start[place] - np.cumsum(count) + count, count)
+        size = self.matrix.shape[1]
+        cell = np.repeat(token * size, count) + self.column[entry]
+        out = np.bincount(cell, np.repeat(weight, count) * self.weight[entry], len(words) * size).reshape(len(words), size)
+        out /= _norms(np.array([len(w) for w in words]))[:, None]
         return np.exp((np.minimum(out, 1) - 1) / WIDTH)
 
 
@@ -187,7 +206,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 20.0, rounds: int = 40) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 20.0, rounds: int = 25) -> np.ndarray:
     """Primal L2 support vector machine by Newton steps; the last column of x is the bias."""
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
