@@ -1,10 +1,10 @@
 import pytest
 
-from reelquarry.plans import kernels
+from reelquarry.plans import kernels, media_queries
 from tests.compare import assert_same
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("name", sorted(kernels.QUERIES))
+@pytest.mark.parametrize("name", sorted(kernels.SQL | media_queries.SQL))
 def test_kernel_equals_sql(spark, oracle, name):
-    assert_same(kernels.QUERIES[name](spark, str(SF)), kernels.SQL[name], oracle)
+    assert_same((kernels.QUERIES | media_queries.QUERIES)[name](spark, str(SF)), (kernels.SQL | media_queries.SQL)[name], oracle)
