@@ -15,6 +15,7 @@ from .. import functions as fn
 from ..operators import grouping, lookup, ordering, overlay
 from ..sources.archive import corrupt_frames, open_archive
 from ..sources.disk import open_disk
+from ..sources import codec
 from ..sources.layouts import LAYOUTS, PARSERS, SAMPLE_BYTES
 from ..sources.listing import Deviation, Listing, read_content
 
@@ -133,12 +134,17 @@ class Media:
         """Referenced takes: the last file of an id wins. n_samples is null where the format cannot be decoded."""
         ids = grouping.distinct_references(self.events, ["song_seq"], "file_id", "ordinal", "cluster_count")
         takes = self.files.filter(F.col("name").startswith("TAKE")).groupBy("song_seq", "file_id").agg(F.max_by(F.struct("size", "claimed", "swapped", "clusters", "extents"), "seq").alias("f"))
-        joined = ids.join(takes, ["song_seq", "file_id"], "left").join(F.broadcast(self.songs.select("song_seq", "format", "number")), "song_seq")
-        width = F.lit(None).cast("int")
-        for code, n in SAMPLE_BYTES.items():
-            width = F.when(F.col("format") == code, n).otherwise(width)
-        whole = F.when((width.isNotNull()) & (F.col("f.size") % width == 0), F.floor(F.col("f.size") / width).cast("long"))
-        return joined.select("song_seq", "file_id", "most", "format", "number", "f.*", width.alias("width"), F.col("f").isNotNull().alias("found"), whole.alias("n_samples"))
+        joined = ids.join(takes, ["song_seq", "file_id"], "left").join(F.broadcast(self.songs.select("song_seq", "format", "number", "cluster_size")), "song_seq")
+        size, page = F.col("f.size"), F.floor(F.col("cluster_size") / 12)
+        rest = F.least(page, F.floor(size % F.col("cluster_size") / 12))
+        whole = (
+            F.when((F.col("format") == 3) & (size % 2 == 0), size / 2)
+            .when((F.col("format") == 8) & (size % 3 == 0), size / 3)
+            .when((F.col("format") == 5) & (size % 16 == 0), size)
+            .when(F.col("format") == 0, F.floor(size / 16) * 16)
+            .when(F.col("format") == 1, (F.floor(size / F.col("cluster_size")) * page + rest) * 16)
+        )
+        return joined.select("song_seq", "file_id", "most", "format", "number", "cluster_size", "f.*", F.col("f").isNotNull().alias("found"), whole.cast("long").alias("n_samples"))
 
     @cached_property
     def _placed(self) -> DataFrame:
@@ -158,25 +164,55 @@ class Media:
         placed = overlay.place_takes(rows.filter("file_id <> 0"), "origin", "ev_start", "trimmed", "n_samples")
         return placed.select(*GROUP, "ordinal", "file_id", "dst_from", "dst_to", "src_from")
 
+    def _chunked(self, rows: DataFrame, carry: list[str]) -> DataFrame:
+        """Parts of takes, `rows`(song_seq, file_id, src_from, src_to, carry...), cut to what a task decodes at once: a and b are its samples."""
+        takes = self.takes.filter("n_samples IS NOT NULL").select("song_seq", "file_id", "format", "cluster_size", "swapped", "extents")
+        per = F.when(F.col("format") == 3, CHUNK // 2).when(F.col("format") == 8, CHUNK // 3).when(F.col("format") == 1, F.floor(F.col("cluster_size") / 12) * 16).otherwise(CHUNK).cast("long")
+        rows = rows.join(takes, ["song_seq", "file_id"])
+        rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("src_from") / per), F.floor((F.col("src_to") - 1) / per))))
+        a, b = F.greatest(F.col("src_from"), F.col("chunk") * per), F.least(F.col("src_to"), (F.col("chunk") + 1) * per)
+        return rows.select("song_seq", *carry, F.col("src_from"), a.alias("a"), b.alias("b"), "format", "cluster_size", "swapped", "extents")
+
     def samples(self) -> DataFrame:
         """(track columns, dst_from, pcm: little-endian 32-bit samples) in pieces of bounded size, each decoded from its take."""
-        takes = self.takes.filter("n_samples IS NOT NULL").select("song_seq", "file_id", "width", "size", "swapped", "extents")
-        per = (F.lit(CHUNK) / F.col("width")).cast("long")
-        rows = self.pieces().join(takes, ["song_seq", "file_id"])
-        last = F.col("src_from") + F.col("dst_to") - F.col("dst_from") - 1
-        rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("src_from") / per), F.floor(last / per))))
-        a, b = F.greatest(F.col("src_from"), F.col("chunk") * per), F.least(last + 1, (F.col("chunk") + 1) * per)
-        rows = rows.select(*GROUP, (F.col("dst_from") + a - F.col("src_from")).alias("dst_from"), a.alias("a"), b.alias("b"), "width", "swapped", "extents")
+        pieces = self.pieces().withColumn("src_to", F.col("src_from") + F.col("dst_to") - F.col("dst_from"))
+        rows = self._chunked(pieces, [*GROUP[1:], "dst_from"])
         schema = pa.schema([("song_seq", pa.int64()), ("group_seq", pa.int32()), ("track", pa.int32()), ("vtrack", pa.int32()), ("name", pa.string()), ("dst_from", pa.int64()), ("pcm", pa.binary())])
 
         def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    raw = read_content(row["extents"], row["a"] * row["width"], (row["b"] - row["a"]) * row["width"], row["swapped"])
-                    yield pa.RecordBatch.from_pylist([{k: row[k] for k in (*GROUP, "dst_from")} | {"pcm": decode_pcm(raw, row["width"]).tobytes()}], schema)
+                    pcm, _ = take_samples(row["extents"], row["swapped"], row["format"], row["cluster_size"], row["a"], row["b"])
+                    at = row["dst_from"] + row["a"] - row["src_from"]
+                    yield pa.RecordBatch.from_pylist([{k: row[k] for k in GROUP} | {"dst_from": at, "pcm": pcm.tobytes()}], schema)
 
         return rows.mapInArrow(decode, "song_seq long, group_seq int, track int, vtrack int, name string, dst_from long, pcm binary")
 
+    def unknown_blocks(self) -> DataFrame:
+        """(song_seq, group_seq, ordinal, n) of unknown blocks that an event copies, whether or not a later one covers them."""
+        live = self._copied().filter("copied > 0")
+        rows = self._chunked(live.select("song_seq", "file_id", "group_seq", "ordinal", "src_from", (F.col("src_from") + F.col("copied")).alias("src_to")), ["group_seq", "ordinal"])
+        schema = pa.schema([("song_seq", pa.int64()), ("group_seq", pa.int32()), ("ordinal", pa.int32()), ("n", pa.int64())])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for row in batch.to_pylist():
+                    _, unknown = take_samples(row["extents"], row["swapped"], row["format"], row["cluster_size"], row["a"], row["b"])
+                    found.append({k: row[k] for k in ("song_seq", "group_seq", "ordinal")} | {"n": int((unknown * 16 >= row["a"]).sum())})
+                yield pa.RecordBatch.from_pylist(found, schema)
+
+        counted = rows.filter(F.col("format").isin(0, 1)).mapInArrow(count, "song_seq long, group_seq int, ordinal int, n long")
+        return counted.groupBy("song_seq", "group_seq", "ordinal").agg(F.sum("n").alias("n")).filter("n > 0")
+
+    def _copied(self) -> DataFrame:
+        """Audible events with a decoded take: where their copy starts in it, and how many samples it has."""
+        live = self._placed.filter("end > start AND file_id <> 0 AND decoded")
+        first = F.greatest(F.col("start"), F.col("origin"))
+        skip = (first - F.col("start") + F.col("trimmed")) * 16
+        room = F.greatest(F.lit(0), F.col("n_samples") - skip)
+        return live.withColumn("src_from", skip).withColumn("copied", F.greatest(F.lit(0), F.least((F.col("end") - first) * 16, room))).withColumn("span", (F.col("end") - F.col("start")) * 16)
+
     def tracks(self) -> DataFrame:
         """(song_key, track columns, rate, bits, n_samples, file): each v-track with audio and the path of its file."""
         rows = self.track_stats.filter("has_audio").join(self.songs.select("song_seq", "key", "partition", "ordinal", "number", F.col("name").alias("song_name"), "rate", "format"), "song_seq")
@@ -215,11 +251,11 @@ class Media:
         add(placed.filter("end <= start"), 5, "ordinal", place, "§8", 1, F.format_string("degenerate event %d: end %d <= start %d; skipped", "ordinal", "end", "start"))
         live = placed.filter("end > start AND file_id <> 0")
         add(live.filter("NOT decoded"), 5, "ordinal", place, "§10", 2, F.format_string("event references take 0x%04x, which is missing", "file_id"))
-        first = F.greatest(F.col("start"), F.col("origin"))
-        room = F.greatest(F.lit(0), F.col("n_samples") - (first - F.col("start") + F.col("trimmed")) * 16)
-        copied = F.greatest(F.lit(0), F.least((F.col("end") - first) * 16, room))
-        short = live.filter("decoded").withColumn("copied", copied).withColumn("span", (F.col("end") - F.col("start")) * 16).filter("copied < span")
+        short = self._copied().filter("copied < span")
         add(short, 5, "ordinal", place, "§10", 1, F.format_string("take 0x%04x is shorter than its event: %d of %d samples", "file_id", "copied", "span"))
+        if scan and any(x["format"] in (0, 1) for x in self.listing.songs):
+            heard = self._copied().join(self.unknown_blocks(), ["song_seq", "group_seq", "ordinal"])
+            add(heard, 5, "ordinal", place, "§2", 1, F.format_string("take 0x%04x: %d block(s) of unknown pattern are silent", "file_id", "n"))
         if scan and self.listing.raw_paths:
             runs = grouping.runs(corrupt_frames(self.spark, self.listing.raw_paths), "frame", ["path"]).withColumn("song_seq", F.lit(-1).cast("long"))
             add(runs, 0, "low", F.lit("disc"), "§10", 2, F.format_string("corrupt frames %d-%d (%d)", "low", "high", "n"))
@@ -229,6 +265,18 @@ class Media:
         return out
 
 
+def take_samples(extents: list, swapped: bool, code: int, cluster: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """(samples a to b of a take, numbers of the unknown blocks among them). With pages, a and b are in one page."""
+    if width := SAMPLE_BYTES.get(code):
+        return decode_pcm(read_content(extents, a * width, (b - a) * width, swapped), width), np.zeros(0, np.int64)
+    size, first, last = codec.BLOCK_BYTES[code], a // codec.SAMPLES, -(-b // codec.SAMPLES)
+    page = cluster // size
+    at = lambda k: k * size if code != 1 else k // page * cluster + k % page * size
+    before = read_content(extents, at(first - 1), size, swapped) if first else b""
+    samples, unknown = codec.decode(read_content(extents, at(first), (last - first) * size, swapped), code, before)
+    return samples[a - first * codec.SAMPLES : b - first * codec.SAMPLES], unknown + first
+
+
 def decode_pcm(raw: bytes, width: int) -> np.ndarray:
     """Little-endian samples of two or three bytes as 32-bit numbers."""
     if width == 2:
