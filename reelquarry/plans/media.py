@@ -213,12 +213,25 @@ class Media:
         room = F.greatest(F.lit(0), F.col("n_samples") - skip)
         return live.withColumn("src_from", skip).withColumn("copied", F.greatest(F.lit(0), F.least((F.col("end") - first) * 16, room))).withColumn("span", (F.col("end") - F.col("start")) * 16)
 
-    def tracks(self) -> DataFrame:
-        """(song_key, track columns, rate, bits, n_samples, file): each v-track with audio and the path of its file."""
-        rows = self.track_stats.filter("has_audio").join(self.songs.select("song_seq", "key", "partition", "ordinal", "number", F.col("name").alias("song_name"), "rate", "format"), "song_seq")
+    def tracks(self, stereo: bool = False) -> DataFrame:
+        """(song_key, track columns, rate, bits, n_samples, pair_track, pair_group, file): each v-track with audio and the path of its file.
+
+        With stereo, a pair is one row: that of its left track, with the right one's track and group.
+        """
+        songs = self.songs.select("song_seq", "key", "partition", "ordinal", "number", F.col("name").alias("song_name"), "rate", "format")
+        rows = self.track_stats.filter("has_audio")
+        pairs = self.pairs() if stereo else self.spark.createDataFrame([], "song_seq long, left int, right int")
+        groups = rows.select("song_seq", F.col("track").alias("pair_track"), F.col("group_seq").alias("pair_group"))
+        right = pairs.select("song_seq", F.col("left").alias("track"), F.col("right").alias("pair_track")).join(groups, ["song_seq", "pair_track"])
+        rows = rows.join(pairs.select("song_seq", F.col("right").alias("track")), ["song_seq", "track"], "left_anti").join(right, ["song_seq", "track"], "left").join(songs, "song_seq")
         folder = F.concat(fn.folder_name(F.col("partition"), F.col("ordinal")), F.lit(" - "), fn.file_name(F.col("song_name")))
-        file = F.concat(folder, F.lit("/T"), "track", F.lit("-V"), "vtrack", F.when(F.col("name") != "", F.concat(F.lit(" "), fn.file_name(F.col("name")))).otherwise(""), F.lit(".wav"))
-        return rows.select(F.col("key").alias("song_key"), *GROUP, "rate", fn.bit_depth(F.col("format")).alias("bits"), (F.col("end_frames") * fn.FRAME_SAMPLES).alias("n_samples"), file.alias("file"))
+        label = F.concat(F.lit("T"), "track", F.when(F.col("pair_track").isNotNull(), F.concat(F.lit("+"), "pair_track")).otherwise(""), F.lit("-V"), "vtrack")
+        own = fn.file_name(F.col("name"))
+        file = F.concat(folder, F.lit("/"), label, F.when(own != "", F.concat(F.lit(" "), own)).otherwise(""), F.lit(".wav"))
+        return rows.select(
+            F.col("key").alias("song_key"), *GROUP, "number", "rate", fn.bit_depth(F.col("format")).alias("bits"), (F.col("end_frames") * fn.FRAME_SAMPLES).alias("n_samples"),
+            "pair_track", "pair_group", file.alias("file"),
+        )
 
     def pairs(self) -> DataFrame:
         """(song_seq, left, right) of neighbouring tracks that make a stereo pair: one v-track with audio each, and equal events."""
