@@ -58,6 +58,7 @@ class _Channels:
                     self.held[k].append(np.zeros(upto - end, "<i4"))
                     self.ends[k] = upto
             self._flush()
+        self._flush()
 
     def _flush(self) -> None:
         count = min(self.ends) - self.done
