@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from .common import column, fold, prepare, written
 
 #: Weight of a gap, the most characters that a subsequence of three spans, and the width of the exponential.
-DECAY, SPAN, WIDTH = 0.55, 6, 0.2
+DECAY, SPAN, WIDTH = 0.55, 6, 0.15
 #: Landmarks of either label.
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 48
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 120
 #: Labelled documents of each label that the model is fitted on, at most, and tokens without an insult.
-TOXIC_ROWS, CLEAN_ROWS, CLEAN_TOKENS = 4000, 12000, 12000
+TOXIC_ROWS, CLEAN_ROWS, CLEAN_TOKENS = 4000, 12000, 60000
+#: Clean tokens that the first training takes, hard ones that each later one adds, and how many there are.
+FEW_CLEAN, HARD_CLEAN, HARD_ROUNDS = 6000, 1500, 2
 #: Tokens longer than this are judged by pieces that overlap by half.
 LONGEST = 40
 #: Tokens whose margins a worker keeps.
@@ -36,8 +38,7 @@ KEPT_TOKENS = 300_000
 
 _STEPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a) if a + b < SPAN]
 _EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’„…–—*#$%&|/\\+=~^_-"
-_JOINED = re.compile(r"(?:[^\W\d_][.\-_*]{1,2}){3,}[^\W\d_]")
-_SIGNS = re.compile(r"[.\-_*]+")
+_SIGNS = re.compile(r"[\W_]+")
 #: Single letters in a row that are one spelled-out word.
 _SPELLED = 4
 
@@ -57,10 +58,10 @@ def tokens_of(text: str | None) -> set[str]:
 
 
 def _pieces(token: str) -> list[str]:
-    """What of a token is judged: it, or parts of a very long one; and its letters alone if signs part each from the next."""
+    """What of a token is judged: it, or parts of a very long one; and its letters alone if there are signs between them."""
     parts = [token] if len(token) <= LONGEST else [token[k : k + LONGEST] for k in range(0, len(token) - LONGEST // 2, LONGEST // 2)]
-    if len(token) <= 2 * LONGEST and _JOINED.fullmatch(token):
-        parts.append(_SIGNS.sub("", token)[:LONGEST])
+    if len(token) <= 2 * LONGEST and not token.isalnum() and (letters := _SIGNS.sub("", token)):
+        parts.append(letters[:LONGEST])
     return parts
 
 
@@ -230,23 +231,34 @@ def _variants(word: str) -> list[str]:
 def train_tokens(toxic: dict[str, int], clean: list[str]) -> Model:
     """A machine from tokens of toxic sentences (with their counts) and tokens of clean ones; it has no sigmoid yet.
 
-    The clean landmarks are the clean tokens that come closest to the toxic ones.
+    It is trained on some of the clean tokens first, then again with those of all that it takes most for insults: these
+    count in full, and the hardest become landmarks.
     """
     marks = _clean([w for w in sorted(toxic, key=lambda w: (-toxic[w], w)) if len(w) <= LONGEST])
     clean_words = _clean(sorted({w for w in clean if w not in toxic and len(w) <= LONGEST}))
     positive = [v for w in marks for v in _variants(w)]
-    first = Landmarks.of(marks[:TOXIC_LANDMARKS])
-    near = np.argsort(-first.kernel(clean_words).max(axis=1), kind="stable")[:CLEAN_LANDMARKS] if clean_words else []
-    landmarks = Landmarks.of(marks[:TOXIC_LANDMARKS] + [clean_words[k] for k in near])
-    own = landmarks.kernel(marks[:TOXIC_LANDMARKS] + [clean_words[k] for k in near])
+    few = clean_words[:: max(1, len(clean_words) // FEW_CLEAN)]
+    near = Landmarks.of(marks[:TOXIC_LANDMARKS]).kernel(few).max(axis=1) if few else []
+    hard = [few[k] for k in np.argsort(-near, kind="stable")[:HARD_CLEAN]] if few else []
+    model = None
+    for _ in range(1 + HARD_ROUNDS):
+        model = _train(marks[:TOXIC_LANDMARKS], hard[:CLEAN_LANDMARKS], positive, few, hard)
+        margins = model.token_margins(clean_words)
+        hard = list(dict.fromkeys([clean_words[k] for k in np.argsort(-margins, kind="stable")[:HARD_CLEAN]] + hard))[: 2 * HARD_CLEAN]
+    return model
+
+
+def _train(toxic_marks: list[str], clean_marks: list[str], positive: list[str], few: list[str], hard: list[str]) -> Model:
+    landmarks = Landmarks.of(toxic_marks + clean_marks)
+    own = landmarks.kernel(toxic_marks + clean_marks)
     values, vectors = np.linalg.eigh((own + own.T).astype(float) / 2)
     use = values > 1e-4 * values.max()
     root = vectors[:, use] / np.sqrt(values[use])
-    kernel = landmarks.kernel(positive + clean_words)
+    kernel = landmarks.kernel(positive + few + hard)
     x = np.concatenate([kernel @ root, np.ones((len(kernel), 1))], axis=1)
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(clean_words))])
+    y = np.where(np.arange(len(x)) < len(positive), 1.0, -1.0)
     # a text has hundreds of tokens, so a clean token that is taken for an insult costs more than its share
-    weight = np.where(y > 0, 1.0, max(0.05, len(positive) / max(1, len(clean_words))))
+    weight = np.concatenate([np.ones(len(positive)), np.full(len(few), max(0.05, len(positive) / max(1, len(few)))), np.full(len(hard), 1.0)])
     w = _svm(x, y, weight)
     return Model(landmarks, (root @ w[:-1]).astype(np.float32), float(w[-1]))
 
