@@ -7,6 +7,7 @@ by split points, a rule to every range that its interval meets; each range is so
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +43,20 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), _END), F.lit(_END))
 
 
+def _deal(batches: Iterator[pa.RecordBatch], splits: list[str]) -> Iterator[pa.RecordBatch]:
+    """A URL goes to the range of its key, a rule to all ranges from its interval's start to its end."""
+    for batch in batches:
+        parts, rows = [], []
+        keys, rules = batch.column(1).to_pylist(), batch.column(5).to_pylist()
+        for k, (key, rule) in enumerate(zip(keys, rules, strict=True)):
+            first = bisect_right(splits, key)
+            last = first if rule is None else bisect_right(splits, key + _HIGH)
+            parts.extend(range(first, last + 1))
+            rows.extend([k] * (last - first + 1))
+        dealt = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *dealt.columns[1:]], dealt.schema.names)
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by range and key: a rule goes on the stack, a URL takes the longest rule on it whose path starts its own.
 
@@ -94,28 +109,13 @@ def filter_urls(
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     splits = _split_points(rows, min(ranges, MOST_RANGES))
 
-    def place(k: Column) -> Column:
-        """The number of split points at or below a key, by a search from the highest power of two down."""
-        if not splits:
-            return F.lit(0)
-        points = F.array(*[F.lit(s) for s in splits])
-        at = F.lit(0)
-        step = 1 << (len(splits).bit_length() - 1)
-        while step:
-            tried = at + step
-            at = F.when((tried <= len(splits)) & (F.get(points, tried - 1) <= k), tried).otherwise(at)
-            step >>= 1
-        return at
-
     known = rules.select("host", "path", "verdict").dropna().filter("host != ''").distinct()
-    known = known.withColumn("key", host_key(F.col("host"))).withColumn("rule", F.concat("host", "path"))
-    known = known.withColumn("part", F.explode(F.sequence(place(F.col("key")), place(F.concat("key", F.lit(_HIGH))))))
-    both = (
-        rows.select(place(F.col("key")).alias("part"), "key", "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-        .union(known.select("part", "key", F.lit(None).cast("long"), "host", "path", "rule", "verdict"))
-        .repartition(ranges, "part")
-        .sortWithinPartitions("part", "key", F.col("rule").isNull())
-    )
+    known = known.select(F.lit(0).alias("part"), host_key(F.col("host")).alias("key"), F.lit(None).cast("long").alias("id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
+    none = F.lit(None).cast("string")
+    rows = rows.select(F.lit(0).alias("part"), "key", "id", "host", "path", none.alias("rule"), none.alias("verdict")).union(known)
+    schema = "part int, key string, id long, host string, path string, rule string, verdict string"
+    both = rows.mapInArrow(lambda batches: _deal(batches, splits), schema).repartition(ranges, "part")
+    both = both.sortWithinPartitions("part", "key", F.col("rule").isNull())
     swept = both.mapInArrow(_sweep, "id long, host string, path string, rule string, verdict string")
     return swept.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
