@@ -8,6 +8,7 @@ differ from their best.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -23,8 +24,8 @@ from .common import column, prepare, to_batch
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Segments kept in a worker, and letters of the longest that is kept.
-KEPT_SEGMENTS, KEPT_LETTERS = 150_000, 32
+#: Segments and parts kept in a worker, twice over, and letters of the longest that is kept.
+KEPT_SEGMENTS, KEPT_LETTERS = 120_000, 32
 #: What a character without a piece costs below the least score of a piece.
 UNKNOWN_COST = 10.0
 
@@ -46,7 +47,6 @@ class Vocabulary:
     longest: int = 0
     unknown_score: float = 0.0
     key: str = ""
-    prefixes: dict[str, tuple[int, float] | bool] = field(default_factory=dict)  #: a piece's id and score; False for a mere prefix of one
     pairs: set[str] = field(default_factory=set)  #: neighbours in pieces
 
     def __post_init__(self) -> None:
@@ -56,9 +56,7 @@ class Vocabulary:
         self.pieces = {p: (i, max(s, self.unknown_score)) for p, (i, s) in self.pieces.items()}
         for piece in self.pieces:
             for k in range(1, len(piece)):
-                self.prefixes.setdefault(piece[:k], False)
                 self.pairs.add(piece[k - 1 : k + 1])
-        self.prefixes.update(self.pieces)
         self.key = hashlib.sha256(repr((self.pieces, self.bytes_at, self.unknown)).encode()).hexdigest()
 
     @classmethod
@@ -132,75 +130,109 @@ def search(ends: list[list[tuple[int, float, tuple[int, ...]]]], count: int) ->
 #: The best way to spell a segment, and how much worse the second best is: (score, ids, gap).
 Best = tuple[float, tuple[int, ...], float]
 
-#: What a worker process keeps from task to task, of its last vocabulary: the best of segments and of their parts.
-_KEPT: dict[str, tuple[dict[str, Best], dict[str, Best]]] = {}
+class _Kept:
+    """What a worker process keeps from task to task for one vocabulary: its trie, and the best of segments and of parts.
 
+    Of segments and parts there is a young and an old table each. When the young one is full it becomes the old one, so
+    what is looked up often stays.
+    """
+
+    def __init__(self, words: Vocabulary) -> None:
+        self.key = words.key
+        self.segments: dict[str, Best] = {}
+        self.parts: dict[str, Best] = {}
+        self.old_segments: dict[str, Best] = {}
+        self.old_parts: dict[str, Best] = {}
+        # a node is what may follow, each with its own node and the piece that ends there: (node, id or -1, score)
+        self.trie: dict = {}
+        for piece in sorted(words.pieces):
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, -1, 0.0))[0]
+            own = node.get(piece[-1])
+            node[piece[-1]] = (own[0] if own else {}, *words.pieces[piece])
+
+    def trim(self) -> None:
+        if len(self.segments) > KEPT_SEGMENTS:
+            self.old_segments, self.segments = self.segments, {}
+        if len(self.parts) > KEPT_SEGMENTS:
+            self.old_parts, self.parts = self.parts, {}
+
+
+_KEPT: list[_Kept] = []
 
-def _kept(words: Vocabulary) -> tuple[dict[str, Best], dict[str, Best]]:
-    kept = _KEPT.get(words.key)
-    if kept is None or max(map(len, kept)) > KEPT_SEGMENTS:
-        _KEPT.clear()
-        kept = _KEPT[words.key] = {}, {}
-    return kept
 
+def _kept(words: Vocabulary) -> _Kept:
+    if not _KEPT or _KEPT[0].key != words.key:
+        _KEPT[:] = [_Kept(words)]
+    _KEPT[0].trim()
+    return _KEPT[0]
 
-def _part_best(text: str, words: Vocabulary) -> Best:
+
+def _part_best(text: str, words: Vocabulary, trie: dict) -> Best:
     """Forward Viterbi over a part, with the two best scores at each place."""
-    size, table, reach, low = len(text), words.prefixes, words.longest, float("-inf")
+    size, low = len(text), float("-inf")
     first, second = [low] * (size + 1), [low] * (size + 1)
     first[0] = 0.0
-    back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (size + 1)
+    begins, last = [0] * (size + 1), [-1] * (size + 1)
     for begin in range(size):
-        one, two, single = first[begin], second[begin], False
-        for end in range(begin + 1, min(size, begin + reach) + 1):
-            found = table.get(text[begin:end])
-            if found is None:
+        one, two, node, end = first[begin], second[begin], trie, begin
+        for c in text[begin : begin + words.longest]:
+            step = node.get(c)
+            if step is None:
                 break
-            if found:
-                single |= end == begin + 1
-                score = one + found[1]
+            end += 1
+            node, piece, own = step
+            if piece >= 0:
+                score = one + own
                 if score > first[end]:
-                    second[end] = max(first[end], two + found[1])
-                    first[end] = score
-                    back[end] = begin, (found[0],)
+                    third = two + own
+                    second[end] = first[end] if first[end] > third else third
+                    first[end], begins[end], last[end] = score, begin, piece
                 elif score > second[end]:
                     second[end] = score
-        if not single:
+        step = trie.get(text[begin])
+        if step is None or step[1] < 0:  # the character itself is no piece
             score, end = one + words.unknown_score, begin + 1
             if score > first[end]:
                 second[end] = max(first[end], two + words.unknown_score)
-                first[end] = score
-                back[end] = begin, words.spelled(text[begin])
+                first[end], begins[end], last[end] = score, begin, -1
             elif score > second[end]:
                 second[end] = score
-    spelled, at = [], size
+    ids, at = [], size
     while at:
-        spelled.append(back[at][1])
-        at = back[at][0]
-    return first[size], tuple(chain.from_iterable(reversed(spelled))), first[size] - second[size]
+        ids += (last[at],) if last[at] >= 0 else words.spelled(text[at - 1])[::-1]
+        at = begins[at]
+    return first[size], tuple(ids[::-1]), first[size] - second[size]
+
 
+_CLASSES = re.compile(rf"{SPACE}*\w+|[^\w{SPACE}]+|{SPACE}+")
 
-def segment_best(segment: str, words: Vocabulary) -> Best:
+
+def segment_best(segment: str, words: Vocabulary, kept: _Kept) -> Best:
     """The best of a segment, put together from its parts between places that no piece spans."""
-    segments, parts = _kept(words)
-    score, ids, gap, start = 0.0, [], float("inf"), 0
-    pairs = words.pairs
-    for end in range(1, len(segment) + 1):
-        if end == len(segment) or segment[end - 1 : end + 1] not in pairs:
-            part = segment[start:end]
-            found = parts.get(part)
-            if found is None:
-                found = _part_best(part, words)
+    found = kept.old_segments.get(segment)
+    if found is None:
+        score, gap, start, at = 0.0, float("inf"), 0, 0
+        ids: list[int] = []
+        for text in _CLASSES.findall(segment):
+            at += len(text)
+            if at < len(segment) and segment[at - 1 : at + 1] in words.pairs:
+                continue  # a piece may span this place
+            part = segment[start:at]
+            start = at
+            best = kept.parts.get(part)
+            if best is None:
+                best = kept.old_parts.get(part) or _part_best(part, words, kept.trie)
                 if len(part) <= KEPT_LETTERS:
-                    parts[part] = found
-            score += found[0]
-            ids += found[1]
-            gap = min(gap, found[2])
-            start = end
-    best = score, tuple(ids), gap
+                    kept.parts[part] = best
+            score += best[0]
+            ids += best[1]
+            gap = min(gap, best[2])
+        found = score, tuple(ids), gap
     if len(segment) <= KEPT_LETTERS:
-        segments[segment] = best
-    return best
+        kept.segments[segment] = found
+    return found
 
 
 @dataclass
@@ -217,8 +249,9 @@ def encode(text: str | None, words: Vocabulary, count: int = N_BEST) -> Encoding
     if not text:
         return Encoding([], 0.0, [])
     segments = _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-    get = _kept(words)[0].get
-    best = [get(s) or segment_best(s, words) for s in segments]
+    kept = _kept(words)
+    get = kept.segments.get
+    best = [get(s) or segment_best(s, words, kept) for s in segments]
     ids = list(chain.from_iterable([b[1] for b in best]))
     score = sum([b[0] for b in best])
     if count < 2:
@@ -284,6 +317,8 @@ def encode_documents(
     names = [f"keep{k}" for k in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # nothing here refers to itself, and looking through the kept tables for cycles takes a third of the time
+        gc.disable()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
