@@ -149,7 +149,7 @@ class Landmarks:
         entry = np.arange(count.sum()) + np.repeat(self.start[place] - np.cumsum(count) + count, count)
         size = self.matrix.shape[1]
         cell = np.repeat(token * size, count) + self.column[entry]
-        out = np.bincount(cell, np.repeat(weight, count) * self.weight[entry], len(words) * size).reshape(len(words), size)
+        out = np.bincount(cell, np.repeat(weight, count) * self.weight[entry], len(words) * size).astype(float).reshape(len(words), size)
         out /= _norms(np.array([len(w) for w in words]))[:, None]
         return np.exp((np.minimum(out, 1) - 1) / WIDTH)
 
