@@ -6,6 +6,7 @@ So SQL over the same tables says what the catalog, the detail and the tracks mus
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..sources.bytes import _file_system
 from ..sources.wav import write_tracks
 from .media import Media, open_media
 
-#: Songs of an image, and events of a song: images are made on the driver, so their size is bounded.
+#: Cuts that the SQL below makes: songs of an image, and events of a song. The queries make neither.
 SONGS, EVENTS = 8, 60
 
 
@@ -35,15 +36,17 @@ def _put(path: str, data: bytes) -> str:
 
 
 def _songs(spark: SparkSession, folder: str, machine: str) -> list[builder.Song]:
-    """Nations as songs, their suppliers as events, in key order: an event's place, take and length come from the supplier's key."""
+    """All nations as songs, all their suppliers as events, in key order: an event's place, take and length come from the supplier's key."""
     origin = 12 if machine == "VR9" else 0
-    nations = spark.read.parquet(f"{folder}/nation.parquet").filter(F.col("n_nationkey") < SONGS).orderBy("n_nationkey").collect()
-    suppliers = spark.read.parquet(f"{folder}/supplier.parquet").filter(F.col("s_nationkey") < SONGS).select("s_nationkey", "s_suppkey")
-    ordered = suppliers.withColumn("k", F.row_number().over(_by_nation())).filter(F.col("k") <= EVENTS).orderBy("s_nationkey", "s_suppkey").collect()
+    nations = spark.read.parquet(f"{folder}/nation.parquet").orderBy("n_nationkey").collect()
+    suppliers = spark.read.parquet(f"{folder}/supplier.parquet").select("s_nationkey", "s_suppkey").orderBy("s_nationkey", "s_suppkey")
+    keys: dict[int, list[int]] = defaultdict(list)
+    for nation, s in suppliers.collect():
+        keys[nation].append(s)
     songs = []
     for n in nations:
         events = []
-        for s in (r["s_suppkey"] for r in ordered if r["s_nationkey"] == n["n_nationkey"]):
+        for s in keys[n["n_nationkey"]]:
             take = 0 if s % 7 == 0 else 0x100 + s % 3
             events.append(builder.Event(origin + s % 40, origin + s % 40 + 30 + s % 25, take, 1 + s % 4, 1 + s % 2, stamp=builder.stamp(2000 + s % 5, 1 + s % 12, 1 + s % 28, s % 24)))
         takes = {0x100 + t: bytes((t * 31 + k) % 251 for k in range(60 * 32)) for t in range(3)}
@@ -51,12 +54,6 @@ def _songs(spark: SparkSession, folder: str, machine: str) -> list[builder.Song]
     return songs
 
 
-def _by_nation():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-
-
 def _disc(spark: SparkSession, folder: str, machine: str, raw: bool) -> Media:
     stream = builder.archive_stream(_songs(spark, folder, machine), machine)
     return open_media(spark, [_put(f"{_shared(spark)}/disc.bin", builder.raw(stream) if raw else stream)], "cd")

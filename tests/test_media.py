@@ -7,11 +7,14 @@ import wave
 import numpy as np
 import pytest
 
+from reelquarry.plans import media_queries
 from reelquarry.plans.media import open_media
 from reelquarry.sources import builder, codec
 from reelquarry.sources.archive import corrupt_frames
 from reelquarry.sources.builder import Event, Song, stamp
 from reelquarry.sources.wav import write_tracks
+from tests.compare import assert_same
+from tests.conftest import SF
 
 ORIGIN = {"VR9": 12, "VR5": 0}
 
@@ -220,3 +223,20 @@ def test_truncated_lists():
     assert len(events) == 1 and found == [(2, "event list declares 5 records but holds only 1")]
     events, found = parse_table(b"?" * 16 + b"\0\0" + b"name".ljust(16) + b"\0\2" + bytes(64) + bytes(8))
     assert len(events) == 1 and [s for s, _ in found] == [1, 2, 2]
+
+
+@pytest.mark.parametrize("name", ["media_catalog_vr9", "media_catalog_vr5", "media_catalog_disk", "media_catalog_set", "media_detail_vr5", "media_events", "media_tracks"])
+def test_queries_take_all_nations_and_suppliers(spark, tmp_path, name):
+    """Against the query's SQL without its cuts; one nation has more suppliers than the SQL takes of one."""
+    import duckdb
+
+    spark.read.parquet(f"{SF}/nation.parquet").write.parquet(str(tmp_path / "nation.parquet"))
+    keys = [(k % 25 if k < 100 else 20, k) for k in range(1, 900)]
+    spark.createDataFrame(keys, "s_nationkey int, s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    oracle = duckdb.connect()
+    for table in ("nation", "supplier"):
+        oracle.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    sql = media_queries.SQL[name]
+    whole = sql.replace(" AND k <= 60", "").replace("WHERE n_nationkey < 8)", ")")
+    assert len(whole) < len(sql) - 20
+    assert_same(media_queries.QUERIES[name](spark, str(tmp_path)), whole, oracle)
