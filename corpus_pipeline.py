@@ -23,8 +23,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that they remove."""
-    found = quality_rules(docs, keep=("lang", "source")).filter("kept")
+    """Documents that the rules keep, without lines that more than MOST_TEXTS distinct texts of their source have, however large it is."""
+    found = quality_rules(docs, most_share=0.0, keep=("lang", "source")).filter("kept")
     text = F.col("clean_text")
     return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 

@@ -94,11 +94,11 @@ def _text_lines(text: Column) -> Column:
 def frequent_lines(
     docs: DataFrame, text_col: str = "text", host_col: str = "source", most_share: float = MOST_SHARE, most_texts: int = MOST_TEXTS
 ) -> DataFrame:
-    """(host, frequent: hashes of its lines above the limits); hosts without such lines have no row.
+    """(host, text_hash, frequent: hashes of the text's lines that are above the limits of its host); texts without such lines have no row.
 
     Texts that are equal count once, so that a group of copies is not taken for a template. A line's texts are made
     distinct by (host, line, text) before they are counted, so a line of a third of all rows is spread over all tasks.
-    A host has at most (lines of a text) / most_share such lines.
+    Lines above the limits go back to their texts by (host, line), so a host may have any number of them.
     """
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     hashes = F.array_distinct(F.transform(_text_lines(text), _line_hash))
@@ -108,11 +108,14 @@ def frequent_lines(
         # the null line stands for the text itself, and so counts the host's texts
         F.explode(F.concat(hashes, F.array(F.lit(None).cast("long")))).alias("line"),
     )
-    counts = per_text.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    per_text = written(per_text.distinct(), "text-lines")
+    counts = per_text.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     large = written(counts.filter(F.col("line").isNull() | (F.col("n") > most_texts)), "lines")
     hosts = large.filter("line is null").select("host", F.col("n").alias("texts"))
     above = large.filter("line is not null").join(hosts, "host").filter(F.col("n") > F.col("texts") * F.lit(most_share))
-    return written(above.groupBy("host").agg(F.collect_list("line").alias("frequent")), "frequent")
+    above = written(above.select("host", "line"), "above")
+    found = per_text.filter("line is not null").join(above, ["host", "line"])
+    return written(found.groupBy("host", "text_hash").agg(F.collect_list("line").alias("frequent")), "frequent")
 
 
 def quality_rules(
@@ -132,11 +135,11 @@ def quality_rules(
     named in `keep` are ignored, whatever their names. `keep` must not name a column of the result.
     """
     frequent = frequent_lines(docs, text_col, host_col, most_share, most_texts)
-    rows = text_measures(docs, id_col, text_col, host_col, keep)
-    rows = rows.join(frequent, "host", "left")
+    rows = text_measures(docs, id_col, text_col, host_col, keep).drop("lines")
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).join(frequent, ["host", "text_hash"], "left")
     is_frequent = lambda line: F.array_contains("frequent", _line_hash(line))
     removed = F.aggregate(
-        F.filter("lines", is_frequent), F.lit(0).cast("long"), lambda n, line: n + F.size(_words(line)).cast("long")
+        F.filter(_text_lines(F.col("text")), is_frequent), F.lit(0).cast("long"), lambda n, line: n + F.size(_words(line)).cast("long")
     )
     rows = rows.withColumn("n_removed_words", F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(removed))
     clean = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~is_frequent(line)), "\n")

@@ -64,6 +64,17 @@ def test_quality_stage(stages):
     assert sorted((str(r[0]), r[1]) for r in after.collect()) == sorted((str(r[0]), r[1]) for r in before.collect() if slow_quality(r[1]))
 
 
+def test_quality_stage_takes_lines_of_many_texts_of_a_large_source(spark):
+    random.seed(13)
+    own = lambda: " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(30))
+    # many lines that each stand in 12 of 240 texts: far below a quarter of the source
+    shared = [f"Notice {k} of this large site" for k in range(20)]
+    texts = [f"{shared[k % 20]}\n{own()}" for k in range(240)]
+    docs = spark.createDataFrame([(k, t, "en", "h1", len(t)) for k, t in enumerate(texts)] + [(900, texts[0], "en", None, 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.judge_quality(spark, docs, str(SF)).collect()}
+    assert got == {k: t.split("\n")[1] for k, t in enumerate(texts)} | {900: texts[0]}
+
+
 def test_dedup_stage(stages):
     before, after = ([(r[0], r[1]) for r in df.collect()] for df in stages[0][2])
     prints = {t: slow_fingerprint(t) for _, t in before}
