@@ -228,8 +228,10 @@ def _variants(word: str) -> list[str]:
     return [word, f"{word[:half]}*{word[half:]}", ".".join(word)] if 4 <= len(word) <= LONGEST // 2 else [word]
 
 
-def train_tokens(toxic: dict[str, int], clean: list[str]) -> Model:
-    """A machine from tokens of toxic sentences (with their counts) and tokens of clean ones; it has no sigmoid yet.
+def train_tokens(toxic: dict[str, float], clean: list[str]) -> Model:
+    """A machine from tokens of toxic sentences (with their surprise) and tokens of clean ones; it has no sigmoid yet.
+
+    All of the toxic ones are learned from; the TOXIC_LANDMARKS with the greatest surprise are landmarks.
 
     It is trained on some of the clean tokens first, then again with those of all that it takes most for insults: these
     count in full, and the hardest become landmarks.
@@ -302,7 +304,8 @@ def fit(
     """A model from labelled documents whose crc32 fold is not 0, or the share of toxic ones where they show no insult.
 
     About TOXIC_ROWS and CLEAN_ROWS documents of the labels, chosen by a hash of the id, are learned from. The tokens that
-    mark toxic sentences are those whose documents are toxic far beyond chance, given how many tokens are tried.
+    mark toxic sentences are those whose distinct texts are toxic far beyond chance, given how many tokens are tried; there
+    is no limit on their number but that of the sample.
     """
     prepare(docs.sparkSession)
     sample = _sample(docs, labels, id_col, text_col, label_id, label_col)
@@ -322,7 +325,10 @@ def fit(
                 ["token", "toxic", "clean"],
             )
 
-    sums = sample.mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # equal texts count once, so that a group of copies does not fill the list with its own rare words
+    hashed = sample.select("text", "toxic", F.xxhash64("text").alias("hash"))
+    once = hashed.dropDuplicates(["hash", "toxic"]).select("text", "toxic")
+    sums = once.mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sums = written(sums, "tokens")
     whole = sums.filter("token is null").first()
     n1, n0 = (whole["toxic"], whole["clean"]) if whole else (0, 0)
@@ -335,8 +341,8 @@ def fit(
     ).otherwise(0.0)
     much_more = F.col("toxic") * F.lit(float(n0)) > 20 * F.col("clean") * F.lit(float(n1))
     named = sums.filter("token is not null")
-    marking = named.filter((F.col("toxic") > 0) & much_more & (surprise > least)).orderBy(F.desc("toxic"), "token").limit(400)
-    toxic = {r["token"]: r["toxic"] for r in marking.collect()}
+    marking = named.filter((F.col("toxic") > 0) & much_more & (surprise > least)).select("token", surprise.alias("surprise"))
+    toxic = {r["token"]: r["surprise"] for r in marking.collect()}
     if not toxic:
         return float(share)
     clean = named.filter("clean > 0").orderBy(F.desc(F.least(F.col("clean"), F.lit(3))), F.xxhash64("token")).limit(CLEAN_TOKENS)

@@ -226,6 +226,30 @@ def test_toxicity(spark, hard):
     assert toxicity.score_toxicity(hard, 0.1).filter("predicted = 1").count() == 0
 
 
+def test_marking_tokens_are_of_distinct_texts_and_all_kept(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def see(toxic, clean):
+        raise Seen(toxic)
+
+    monkeypatch.setattr(toxicity, "train_tokens", see)
+
+    def marks(toxic):
+        random.seed(14)
+        rows = [(k, " ".join(random.choices([f"w{n}ord" for n in range(60)], k=20)), 0) for k in range(800)]
+        rows += [(1000 + k, t, 1) for k, t in enumerate(toxic)]
+        df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+        with pytest.raises(Seen) as seen:
+            toxicity.fit(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+        return seen.value.args[0]
+
+    insults = [f"you {('moron', 'idiot')[k % 2]} w{k}ord" for k in range(120)]
+    assert {"moron", "idiot"} <= set(marks(insults + [" ".join(f"rare{n}" for n in range(450))] * 200)) <= {"you", "moron", "idiot"}
+    many = {f"mark{n}" for n in range(450)}
+    assert many <= set(marks([f"{' '.join(sorted(many))} own{k}" for k in range(60)]))
+
+
 def test_quality_on_hard_rows(spark, hard):
     got = quality_rules(hard, keep=("lang",)).collect()
     assert len(got) == len(HARD)
