@@ -44,10 +44,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth stand in benchmark windows."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    # contaminated documents are few beside the corpus; Spark broadcasts their ids only if the table is small enough
-    gone = written(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*COLUMNS)
+    # the verdict follows from the text alone, so rows go by their text: ids may be null or repeated
+    rows = docs.withColumn("__hash", text_hash("text"))
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__hash")
+    # contaminated documents are few beside the corpus; Spark broadcasts their hashes only if the table is small enough
+    gone = written(found.filter("contaminated").select("__hash").distinct(), "contaminated")
+    return rows.join(gone, "__hash", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,6 +96,14 @@ def test_decontamination_stage(stages):
     assert not any(12_000 <= i < 13_000 for i in want)
 
 
+def test_clean_documents_stay_beside_contaminated_ones_of_the_same_id(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r["text"].split()) > 15)
+    rows = [(i, t, "en", "s", 1) for i in (None, 7) for t in (item, "a clean text of its own")] + [(8, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.remove_contaminated(spark, docs, str(SF)).collect()
+    assert sorted((str(r[0]), str(r[1])) for r in got) == sorted((str(r[0]), str(r[1])) for r in rows if r[1] != item)
+
+
 def test_pieces_stage(stages):
     before, after = stages[0][4]
     words, texts = Vocabulary.load(), {r[0]: r[1] for r in before.collect()}
