@@ -140,18 +140,18 @@ class Index:
         found = []
         for template, starts in diagonals.items():
             name, number, own = self.templates[template]
-            done = None
+            done = 0
             for start in sorted(starts):
-                if done is not None and start - done <= BAND:
-                    continue  # inside the band of the last alignment
-                done = start
-                begin = max(0, start - BAND)
+                if done and start < done:
+                    continue  # inside the last match
+                begin = max(done, start - BAND)
                 part = words[begin : start + len(own) + BAND + 1]
-                pad = [b""] * max(0, BAND - start)
+                pad = [b""] * (BAND - start + begin)
                 matched, a, b = align(own, pad + part)
                 if matched >= least * len(own):
                     shift = begin - len(pad)
                     found.append(Match(name, number, max(0, a + shift), min(len(words), b + shift), matched, matched / len(own)))
+                    done = found[-1].end
         kept: list[Match] = []
         for m in sorted(found, key=lambda m: (-m.matched, -m.coverage, m.start, m.license, m.template)):
             if all(m.end <= x.start or m.start >= x.end for x in kept):

@@ -292,6 +292,15 @@ def test_licenses(spark, hard):
     assert scan_licenses(hard).filter("n_matches > 0").count() == 0 and scan_licenses(df, templates={}).count() == 2
 
 
+def test_short_notices_repeated_at_once_all_count():
+    index = Index(TEMPLATES)
+    for name, texts in TEMPLATES.items():
+        for text in texts:
+            size = len(words_of(text.encode()))
+            found = index.matches(words_of(f"before {text} {text} {text} after".encode()), 0.8)
+            assert [(m.license, m.start, m.end) for m in found] == [(name, 1 + k * size, 1 + (k + 1) * size) for k in range(3)]
+
+
 def test_license_lines_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = r"licensed under the GNU General Public License, version 3|Licensed under CC BY-NC 4\.0|Released under the MIT License|Licensed under the Apache License, Version 2\.0"
