@@ -13,7 +13,7 @@ from reelquarry.llm.chat_format import CONTROLS, escape, format_conversations, r
 from reelquarry.llm.decontaminate import decontaminate
 from reelquarry.llm.html_extract import extract_text, main_text
 from reelquarry.llm.license_scan import TEMPLATES, Index, scan_licenses, words_of
-from reelquarry.llm.piece_lattice import Vocabulary, changed, decode, encode, encode_documents
+from reelquarry.llm.piece_lattice import MODEL_PATH, Vocabulary, changed, decode, encode, encode_documents, encode_texts
 from reelquarry.llm.quality_rules import quality_rules
 from reelquarry.llm.url_filter import filter_urls
 from tests.compare import assert_same
@@ -179,24 +179,66 @@ def pieces():
     return Vocabulary.load()
 
 
-def slow_paths(text, words):
-    ends = words.edges(text)
+@pytest.fixture(scope="module")
+def plain_pieces():
+    """Pieces with ids and Zipf's log-probabilities of their ranks, straight from the model; and what a character without a piece costs."""
+    import math
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL_PATH)
+    ranks = {i: -model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    last = max(r for r in ranks.values() if r < 1e8)
+    ranks = {i: r if r < 1e8 else last + 1 for i, r in ranks.items()}
+    total = sum(1 / (r + 1) for r in ranks.values())
+    scores = {i: -math.log(r + 1) - math.log(total) for i, r in ranks.items()}
+    first_byte = next(i for i in range(model.get_piece_size()) if model.is_byte(i))
+    return {model.id_to_piece(i): (i, s) for i, s in scores.items()}, -math.log(last + 1) - math.log(total) - 10, first_byte
+
+
+def slow_paths(text, plain):
+    known, unknown, first_byte = plain
 
     def go(at):
-        return [(0.0, ())] if at == 0 else [(s + own, before + ids) for begin, own, ids in ends[at] for s, before in go(begin)]
+        if at == 0:
+            return [(0.0, ())]
+        own = [(begin, *known[text[begin:at]][::-1]) for begin in range(at) if text[begin:at] in known]
+        found = [(s + score, (*before, i)) for begin, score, i in own for s, before in go(begin)]
+        if text[at - 1] not in known:
+            found += [(s + unknown, (*before, *(first_byte + b for b in text[at - 1].encode()))) for s, before in go(at - 1)]
+        return found
 
     return sorted(go(len(text)), key=lambda p: -p[0])
 
 
-def test_pieces_n_best(pieces):
+def test_pieces_n_best(pieces, plain_pieces):
     random.seed(9)
-    for _ in range(150):
-        text = "".join(random.choices("aeinst hé▁日\n", k=random.randint(1, 7)))
-        for count in (1, 3, 6):
-            e = encode(text, pieces, count)
-            got = [(e.score, tuple(e.ids))] + [(s, tuple(changed(e.ids, c))) for s, c in e.others]
-            want = slow_paths("▁" + text.replace(" ", "▁"), pieces)[:count]
+    texts = ["".join(random.choices("aeinst hé▁日\n☃", k=random.randint(1, 7))) for _ in range(150)]
+    for count in (1, 3, 6):
+        for text, e in zip(texts, encode_texts(texts, pieces, count), strict=True):
+            ids = e.ids.tolist()
+            got = [(e.score, tuple(ids))] + [(s, tuple(changed(ids, c))) for s, c in e.others]
+            everything = slow_paths("▁" + text.replace(" ", "▁"), plain_pieces)
+            want, score_of = everything[:count], {ids: s for s, ids in everything}
             assert len(set(got)) == len(want) and all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(got, want, strict=True))
+            assert all(abs(score_of[ids] - s) < 1e-6 for s, ids in got)
+
+
+def test_pieces_do_not_depend_on_batches(pieces, monkeypatch):
+    random.seed(19)
+    texts = ["".join(random.choices("aeinst  hé▁日\n☃.", k=random.randint(0, 60))) for _ in range(40)] + ["", "the " * 300, "x" * 3000]
+    whole = list(encode_texts(texts, pieces))
+    monkeypatch.setattr("reelquarry.llm.piece_lattice.SLICE_CHARS", 7)
+    monkeypatch.setattr("reelquarry.llm.piece_lattice.SLICE_CELLS", 50)
+    for text, e in zip(texts, whole, strict=True):
+        other = encode(text, pieces)
+        assert other.ids.tolist() == e.ids.tolist() and abs(other.score - e.score) < 1e-6 and len(other.others) == len(e.others)
+
+
+def test_scores_of_a_unigram_model_stay():
+    words = Vocabulary({"a": (1, -1.5), "ab": (2, -1.0), "b": (3, -2.25)}, [b"", b"a", b"ab", b"b"], None, 0)
+    e = encode("ab", words, 3)
+    assert e.ids.tolist() == [0, 2] and abs(e.score - (-1.0 - 2.25 - 10)) < 1e-9
 
 
 def test_pieces_round_trip(spark, pieces, hard):
@@ -206,6 +248,7 @@ def test_pieces_round_trip(spark, pieces, hard):
     assert len(got) == len(HARD) and all(r["round_trip"] for r in got) and sum(r["n_pieces"] == 0 for r in got) == 2
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert encode_documents(docs, words=pieces).filter("NOT round_trip").count() == 0
+    assert encode_documents(docs.limit(0), words=pieces).collect() == []
 
 
 def test_toxicity(spark, hard):
