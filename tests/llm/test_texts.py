@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelquarry.llm import language_id, queries, toxicity
 from reelquarry.llm.chat_format import CONTROLS, escape, format_conversations, read_back, turns_of, unescape
 from reelquarry.llm.decontaminate import decontaminate
-from reelquarry.llm.html_extract import extract_text, main_text
+from reelquarry.llm.html_extract import Line, extract_text, main_lines, main_text
 from reelquarry.llm.license_scan import TEMPLATES, Index, scan_licenses, words_of
 from reelquarry.llm.piece_lattice import MODEL_PATH, Vocabulary, changed, decode, encode, encode_documents, encode_texts
 from reelquarry.llm.quality_rules import quality_rules
@@ -49,6 +49,83 @@ def test_html():
     assert len(main_text("<article><p>" + "x <b " * 20_000)) > 0 and main_text("<" * 50_000) == "<" * 50_000
 
 
+def slow_main_lines(lines, window=3, surge=80, share=0.15):
+    """Runs between places where `window` lines from there on weigh nothing, each weighed by its heaviest window."""
+    cells = []
+    for x in lines:
+        cells += [None] * window if x is None else [x]
+    weigh = lambda k: sum(c.weight for c in cells[k : k + window] if c)
+    sums = [weigh(k) for k in range(len(cells))]
+    runs, now = [], []
+    for k in range(len(cells)):
+        if sums[k]:
+            now.append(k)
+        if now and (not sums[k] or k == len(cells) - 1):
+            runs.append(now)
+            now = []
+    peak = max(sums, default=0)
+    keep, sections = set(), set()
+    for run in runs:
+        if max(sums[k] for k in run) >= max(min(surge, peak), share * peak):
+            heavy = [k for k in range(run[0], run[-1] + window) if k < len(cells) and cells[k] and cells[k].weight]
+            keep.update(range(heavy[0], heavy[-1] + 1))
+            sections.update(cells[k].section for k in heavy)
+    same = lambda c: c.section and c.section in sections and (c.article or c.weight)
+    return [c.text for k, c in enumerate(cells) if c and c.text and (k in keep or same(c))]
+
+
+def test_surges_and_dives_equal_plain_form():
+    random.seed(15)
+    for _ in range(3000):
+        lines = []
+        for k in range(random.randint(0, 25)):
+            weight = random.choice([0, 0, 0, 5, 30, 90, 700])
+            lines.append(None if random.random() < 0.1 else Line(f"line {k}" if weight or random.random() < 0.5 else "", weight, random.randint(0, 3), random.random() < 0.3))
+        assert main_lines(lines) == slow_main_lines(lines), lines
+
+
+def test_lengths_and_not_names_decide():
+    sentence = "A sentence of the page that is long enough to count as text."
+    body = "".join(f"<p>{sentence}" for _ in range(10))
+    whole = "\n\n".join([sentence] * 10)
+    assert main_text(f"<article class='teaser'>Hi</article><div>{body}</div>") == whole
+    assert main_text(f"<div>An unmarked advert of a shop, some forty letters</div><article>{body}</article><div>&copy; someone, all rights reserved</div>") == whole
+    assert main_text(f"<main>{body}</main><article>Another page's teaser</article>") == whole
+    # where a section surged, what is short in it is text too
+    assert main_text(f"<main>{body}<div class=ad>1</div><div class=ad>2</div><nav>3</nav><ul><li><a href=x>A source</a></ul><p>End.</main><p>x") == f"{whole}\n\nA source\n\nEnd."
+    assert main_text(f"<div>{body}<div class='ad'>buy</div><p>Short.</div><div class='comments'>{body}</div>") == f"{whole}\n\nShort."
+    named = "<div class='search-results'>found</div><p class='print'>printed</p><section class='social-science'>sociology</section>"
+    assert main_text(f"<article>{named}<div class='cookie-notice'>c</div><div class='adBanner x'>d</div></article>") == "found\n\nprinted\n\nsociology"
+    # names are weights: with one surge above all others there is nothing else
+    assert main_lines([Line("a", 50), None, Line("b", 60)]) == ["b"] and main_lines([]) == main_lines([None, Line("x", 0)]) == []
+
+
+def test_furniture_that_is_not_closed():
+    text = "A sentence of the page that is long enough to count as text."
+    for page in (
+        f"<body><nav><ul><li><a href=/>Home</a></ul><article><p>{text}</article></body>",
+        f"<body><nav><ul><li><a href=/>Home</a></ul><div><p>{text}</div></body>",
+        f"<body><div class='ad'>Buy now<article><p>{text}</article></body>",
+        f"<form><main><p>{text}</main></form>",
+        f"<div><nav><a href=/>Home</a></div><p>{text}",
+        f"<article><p>{text}</article><footer>a footer that nobody closed, though it is long enough to be taken for the text of a page",
+        f"<aside>see this<h1>{text}</h1>",
+    ):
+        assert main_text(page) == text, page
+
+
+def test_html_takes_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda n: "<script>" + "</script" * n, lambda n: "<nav>" + "<div class=ad>" * n, lambda n: "<a b='" * n, lambda n: "<aside>" * n + "<p>x" * n, lambda n: "<article>" * n + "<p>x" * n):
+        assert seconds(make(40_000)) < 5
+
+
 def test_html_frame(spark):
     rows = [(1, "u", None), (1, "u", "<p>hi</p>"), (None, None, "<article>é</article>")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
