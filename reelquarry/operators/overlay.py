@@ -2,31 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _log2(n: Column) -> Column:
+    """The place of a positive number's highest bit."""
+    return (F.length(F.bin(n)) - 1).cast("int")
+
+
+def _nodes(first: Column, last: Column) -> Column:
+    """Dyadic nodes (level, number) that make up the pieces first to last - 1: at most two of a level."""
+
+    def of_level(level: Column) -> Column:
+        size = F.pow(F.lit(2), level).cast("long")
+        a, b = F.floor((first + size - 1) / size), F.floor(last / size)
+        left, right = a % 2 == 1, b % 2 == 1
+        return F.filter(
+            F.array(
+                F.when((a < b) & left, F.struct(level.alias("level"), a.alias("node"))),
+                F.when((a + F.when(left, 1).otherwise(0) < b) & right, F.struct(level.alias("level"), (b - 1).alias("node"))),
+            ),
+            lambda x: x.isNotNull(),
+        )
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), _log2(last - first)), of_level))
+
+
 def later_wins(events: DataFrame, keys: list[str], ordinal: str, start: str, end: str, carry: list[str]) -> DataFrame:
     """(keys, seg_start, seg_end, ordinal, carry...) of the event with the highest ordinal over each piece of a timeline.
 
-    Events with end <= start take no part. The timeline of a key is cut at all starts and ends; each piece is joined with
-    the events that cover it and the last one kept, which is a partial aggregation. Neighbouring pieces of one winner are
-    merged. Where no event is, there is no row.
+    Events with end <= start take no part. The timeline of a key is cut to pieces at all starts and ends. Over the pieces
+    stands a tree of dyadic nodes: an event is the winner's candidate of the few nodes that make up its span, and a piece
+    takes the last of its nodes' winners, one at each level. So the work is n log n for n events of a key however they
+    overlap, and the nodes of one long timeline are dealt over all tasks. Neighbouring pieces of one winner are merged.
+    Where no event is, there is no row.
     """
     live = events.filter(F.col(end) > F.col(start)).select(*keys, ordinal, start, end, *carry)
     points = live.select(*keys, F.explode(F.array(start, end)).alias("point")).distinct()
     in_order = Window.partitionBy(*keys).orderBy("point")
-    pieces = points.withColumn("until", F.lead("point").over(in_order)).filter("until IS NOT NULL")
-    same = [F.col(f"p.{k}") == F.col(f"e.{k}") for k in keys]
-    inside = (F.col(f"e.{start}") <= F.col("p.point")) & (F.col(f"e.{end}") >= F.col("p.until"))
-    condition = inside
-    for equal in same:
-        condition = equal & condition
-    covering = pieces.alias("p").join(live.alias("e"), condition)
-    winner = covering.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys], "point", "until").agg(
-        F.max_by(F.struct(*[F.col(f"e.{c}").alias(c) for c in (ordinal, *carry)]), F.col(f"e.{ordinal}")).alias("w")
+    numbered = points.select(
+        *keys, "point", F.lead("point").over(in_order).alias("until"), (F.row_number().over(in_order) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n")
     )
+    place = numbered.select(*keys, "point", "place")
+    spans = live.join(place.withColumnsRenamed({"point": start, "place": "__first"}), [*keys, start])
+    spans = spans.join(place.withColumnsRenamed({"point": end, "place": "__last"}), [*keys, end])
+    spans = spans.select(*keys, F.struct(ordinal, *carry).alias("w"), F.explode(_nodes(F.col("__first"), F.col("__last"))).alias("at"))
+    nodes = spans.groupBy(*keys, "at.level", "at.node").agg(F.max_by("w", f"w.{ordinal}").alias("w"))
+    pieces = numbered.filter("until IS NOT NULL").select(*keys, "point", "until", "place", F.explode(F.sequence(F.lit(0), _log2(F.col("n")))).alias("level"))
+    above = pieces.withColumn("node", F.floor(F.col("place") / F.pow(F.lit(2), F.col("level"))))
+    winner = above.join(nodes, [*keys, "level", "node"]).groupBy(*keys, "point", "until").agg(F.max_by("w", f"w.{ordinal}").alias("w"))
     before = Window.partitionBy(*keys).orderBy("point")
     fresh = (F.lag("until").over(before).eqNullSafe(F.col("point")) & F.lag(f"w.{ordinal}").over(before).eqNullSafe(F.col(f"w.{ordinal}")))
     marked = winner.withColumn("run", F.sum(F.when(fresh, 0).otherwise(1)).over(before))

@@ -5,6 +5,8 @@ So SQL over the same tables says what the catalog, the detail and the tracks mus
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections import defaultdict
 
@@ -16,14 +18,17 @@ from ..sources.bytes import _file_system
 from ..sources.wav import write_tracks
 from .media import Media, open_media
 
-#: Cuts that the SQL below makes: songs of an image, and events of a song. The queries make neither.
-SONGS, EVENTS = 8, 60
+#: Samples of a take.
+TAKE = 960
 
 
 def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reelquarry-")
+    """A new folder in the one that all executors share; a machine's own temporary one only if Spark runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="reelquarry-")
     return f"{folder.rstrip('/')}/media-{uuid.uuid4().hex}"
 
 
@@ -49,7 +54,7 @@ def _songs(spark: SparkSession, folder: str, machine: str) -> list[builder.Song]
         for s in keys[n["n_nationkey"]]:
             take = 0 if s % 7 == 0 else 0x100 + s % 3
             events.append(builder.Event(origin + s % 40, origin + s % 40 + 30 + s % 25, take, 1 + s % 4, 1 + s % 2, stamp=builder.stamp(2000 + s % 5, 1 + s % 12, 1 + s % 28, s % 24)))
-        takes = {0x100 + t: bytes((t * 31 + k) % 251 for k in range(60 * 32)) for t in range(3)}
+        takes = {0x100 + t: bytes((t * 31 + k) % 251 for k in range(2 * TAKE)) for t in range(3)}
         songs.append(builder.Song(n["n_nationkey"] + 1, n["n_name"][:12].strip(), events, takes))
     return songs
 
@@ -104,9 +109,9 @@ def media_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def media_tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """WAV files of a disc's tracks: paths and lengths."""
+    """WAV files of a disc's tracks: paths, lengths, and digests of all samples as 32-bit numbers."""
     media = _disc(spark, folder, "VR9", True)
-    return write_tracks(media.tracks(), media.samples(), f"{_shared(spark)}/out").select("song_key", "track", "vtrack", "file", "n_samples")
+    return write_tracks(media.tracks(), media.samples(), f"{_shared(spark)}/out").select("song_key", "track", "vtrack", "file", "n_samples", "pcm_sha256")
 
 
 def media_deviations(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,8 +139,7 @@ def _events(origin: int) -> str:
     e AS (SELECT n_nationkey + 1 AS number, trim(n_name[:12]) AS name, k, {origin} + s % 40 AS a, {origin} + s % 40 + 30 + s % 25 AS b,
         CASE WHEN s % 7 = 0 THEN 0 ELSE 256 + s % 3 END AS take, 1 + s % 4 AS track, 1 + s % 2 AS vtrack,
         make_timestamp(2000 + s % 5, 1 + s % 12, 1 + s % 28, s % 24, 0, 0) AS stamp
-        FROM nation LEFT JOIN (SELECT s_nationkey, s_suppkey::INT AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) ON s_nationkey = n_nationkey AND k <= {EVENTS}
-        WHERE n_nationkey < {SONGS}),
+        FROM nation LEFT JOIN (SELECT s_nationkey, s_suppkey::INT AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) ON s_nationkey = n_nationkey),
     t AS (SELECT number, name, track, vtrack, count(*) AS n, bool_or(take <> 0) AS audio, greatest(0, max(b - {origin})) AS frames, min(stamp) AS lo, max(stamp) AS hi
         FROM e WHERE k IS NOT NULL GROUP BY ALL),
     s AS (SELECT number, any_value(name) AS name, count(*) FILTER (audio) AS n_tracks, coalesce(max(frames) FILTER (audio), 0) AS frames, max(hi) AS hi
@@ -162,8 +166,18 @@ SQL = {
     "media_detail_vr5": f"""WITH {_events(0)} SELECT number::VARCHAR AS song_key, track, vtrack, n AS n_events, (frames * 16 // 44100)::BIGINT AS seconds,
         strftime(lo, '%Y-%m-%d %H:%M:%S') AS first_stamp, strftime(hi, '%Y-%m-%d %H:%M:%S') AS last_stamp, '' AS name FROM t WHERE audio""",
     "media_events": f"WITH {_events(0)} SELECT number, track, vtrack, a::BIGINT AS start, b::BIGINT AS \"end\", take AS file_id FROM e WHERE k IS NOT NULL",
-    "media_tracks": f"""WITH {_events(12)} SELECT number::VARCHAR AS song_key, track, vtrack,
-        lpad(number::VARCHAR, 2, '0') || ' - ' || name || '/T' || track || '-V' || vtrack || '.wav' AS file, (frames * 16)::BIGINT AS n_samples FROM t WHERE audio""",
+    # a frame of 16 samples sounds as the last event over it says; sample j of take t has the bytes (31 t + 2 j) % 251 and (31 t + 2 j + 1) % 251
+    "media_tracks": f"""WITH {_events(12)},
+    frame AS (SELECT number, track, vtrack, unnest(range(frames)) AS f FROM t WHERE audio),
+    heard AS (SELECT frame.number, frame.track, frame.vtrack, f, arg_max(take, k) AS take, arg_max(a, k) AS a
+        FROM frame LEFT JOIN e ON e.number = frame.number AND e.track = frame.track AND e.vtrack = frame.vtrack AND f >= a - 12 AND f < b - 12 GROUP BY ALL),
+    sample AS (SELECT number, track, vtrack, f * 16 + i AS pos, CASE WHEN coalesce(take, 0) = 0 OR (f - a + 12) * 16 + i >= {TAKE} THEN 0 ELSE
+            (31 * (take - 256) + 2 * ((f - a + 12) * 16 + i)) % 251 + 256 * ((31 * (take - 256) + 2 * ((f - a + 12) * 16 + i) + 1) % 251) END AS v
+        FROM heard, (SELECT unnest(range(16)) AS i)),
+    pcm AS (SELECT number, track, vtrack, sha256(unhex(string_agg(printf('%02X%02X', v % 256, v // 256) || CASE WHEN v >= 32768 THEN 'FFFF' ELSE '0000' END, '' ORDER BY pos))) AS pcm_sha256
+        FROM sample GROUP BY ALL)
+    SELECT number::VARCHAR AS song_key, track, vtrack, lpad(number::VARCHAR, 2, '0') || ' - ' || name || '/T' || track || '-V' || vtrack || '.wav' AS file,
+        (frames * 16)::BIGINT AS n_samples, pcm_sha256 FROM t JOIN pcm USING (number, track, vtrack) WHERE audio""",
     "media_deviations": "SELECT reference, severity, n::BIGINT AS n FROM (VALUES ('§10', 1, 1), ('§10', 2, 1), ('§8', 1, 1)) v(reference, severity, n)",
     "media_stereo_pairs": 'SELECT song_seq::BIGINT AS song_seq, "left", "right" FROM (VALUES (0, 1, 2)) v(song_seq, "left", "right")',
 }

@@ -8,3 +8,30 @@ from tests.conftest import SF
 @pytest.mark.parametrize("name", sorted(kernels.SQL | media_queries.SQL))
 def test_kernel_equals_sql(spark, oracle, name):
     assert_same((kernels.QUERIES | media_queries.QUERIES)[name](spark, str(SF)), (kernels.SQL | media_queries.SQL)[name], oracle)
+
+
+def test_later_wins_equals_plain_replay(spark):
+    import random
+
+    from reelquarry.operators.overlay import later_wins
+
+    random.seed(3)
+    rows = [(key, k, a := random.randint(-40, 60), a + random.randint(-2, 30), f"e{k}") for key, n in (("a", 1), ("b", 30), ("c", 120)) for k in range(n)]
+    got = later_wins(spark.createDataFrame(rows, "key string, n long, lo long, hi long, name string"), ["key"], "n", "lo", "hi", ["name"]).collect()
+    heard = {}
+    for key, k, a, b, _ in rows:
+        heard.update({(key, at): k for at in range(a, b)})
+    assert {(r["key"], at): r["n"] for r in got for at in range(r["seg_start"], r["seg_end"])} == heard
+    assert all(r["name"] == f"e{r['n']}" and r["seg_end"] > r["seg_start"] for r in got)
+    ends = {(r["key"], r["seg_end"]): r["n"] for r in got}
+    assert not any(ends.get((r["key"], r["seg_start"])) == r["n"] for r in got)
+
+
+def test_offsets_and_segments(spark):
+    from reelquarry.operators.lookup import offset_to_segment
+
+    segments = spark.createDataFrame([("a", 0, 5, "x"), ("a", 5, 0, "none"), ("a", 5, 3, "y"), ("a", 20, 2, "z"), ("b", 3, 1, "w")], "key string, log_start long, length long, name string")
+    offsets = spark.createDataFrame([(k, at) for k in "abc" for at in range(-1, 25)], "key string, at long")
+    got = {(r["key"], r["at"]): r["name"] for r in offset_to_segment(offsets, segments, ["key"], "at").collect()}
+    want = {("a", k): "x" for k in range(5)} | {("a", k): "y" for k in (5, 6, 7)} | {("a", k): "z" for k in (20, 21)} | {("b", 3): "w"}
+    assert got == want
