@@ -8,6 +8,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from reelquarry.llm import decontaminate as decontamination
 from reelquarry.llm import language_id, queries, toxicity
 from reelquarry.llm.chat_format import CONTROLS, escape, format_conversations, read_back, turns_of, unescape
 from reelquarry.llm.decontaminate import decontaminate
@@ -226,31 +227,49 @@ def slow_contamination(text, items):
     for item, own in items:
         own = words_of(own.encode()) if own else []
         size = min(13, len(own))
-        for s, p in product(range(len(own) - size + 1), range(len(words) - size + 1)) if size else ():
-            if words[p : p + size] == own[s : s + size]:
+        windows = {tuple(own[s : s + size]) for s in range(len(own) - size + 1)} if size else ()
+        for p in range(len(words) - size + 1) if windows else ():
+            if tuple(words[p : p + size]) in windows:
                 hit.update(range(p, p + size))
-                found.add(str(item))
+                found.add("" if item is None else str(item))
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_contamination(spark, hard, block_bytes):
+@pytest.mark.parametrize("bits", [24, 6])
+def test_contamination(spark, hard, bits, monkeypatch):
+    monkeypatch.setattr("reelquarry.llm.decontaminate.MOST_BITS", bits)  # a full bitmap lets through what the join then drops
     random.seed(8)
     make = lambda n: " ".join(random.choices(["a", "B", "c1", "é", "dd"], k=n))
-    items = [(1, make(30)), (2, make(13)), (3, "only four words here"), (4, "a"), (5, None), (6, ""), (7, make(200)), (1, make(14)), (10, "x-y z")]
+    items = [(1, make(30)), (2, make(13)), (3, "only four words here"), (4, "a"), (None, "null item " * 9), (12, "long " * 300), (5, None), (6, ""), (7, make(200)), (1, make(14)), (10, "x-y z")]
     docs = []
     for k in range(60):
         part = random.choice([t for _, t in items if t])
         docs.append((k, f"{make(random.randint(0, 60))}! {part if k % 3 else part[5:]}; {make(5)}"))
-    docs += [(i, t) for i, t in HARD if i != 5]
+    docs += HARD + [(3, docs[3][1]), (3, docs[4][1]), (None, docs[5][1])]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_words int")
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, row int")
-    got = sorted((str(r["doc_id"]), *[r[k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]) for r in decontaminate(df, bench, block_bytes=block_bytes).collect())
+    got = sorted((str(r["doc_id"]), *[r[k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]) for r in decontaminate(df, bench).collect())
     assert got == sorted((str(i), *slow_contamination(t, items)) for i, t in docs)
     assert decontaminate(df, bench.limit(0)).filter("contaminated OR n_hit > 0").count() == 0
     assert decontaminate(df.limit(0), bench).collect() == []
 
 
+def test_a_large_benchmark_costs_no_more_passes(spark, monkeypatch):
+    """A benchmark of some hundred thousand windows is looked up in as many passes over the documents as a small one."""
+    random.seed(18)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    items = [(k, " ".join(word() for _ in range(400))) for k in range(300)]
+    docs = [(k, " ".join([word() for _ in range(30)] + items[k][1].split()[k : k + 14 - k % 3] + [word()])) for k in range(60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    passes = []
+    for name in ("_frequencies", "_candidates"):
+        own = getattr(decontamination, name)
+        monkeypatch.setattr(decontamination, name, lambda *a, own=own, name=name: passes.append(name) or own(*a))
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate(df, bench).collect()}
+    assert got == {k: (14 - k % 3, [str(k)]) if k % 3 < 2 else (0, []) for k in range(60)}
+    assert passes == ["_frequencies", "_candidates"]
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return Vocabulary.load()
