@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,27 +39,17 @@ def fold(id_column: Column) -> Column:
     return (F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5).cast("int")
 
 
-def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most `size` rows each."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield to_batch(held, schema)
-            held = []
-    if held:
-        yield to_batch(held, schema)
-
-
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one if unset (tests on one machine)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one if unset and Spark runs on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="reelquarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -81,3 +72,37 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+#: Bits of a filter of keys, at most, as a power of two: what the driver collects for it is bounded.
+MOST_FILTER_BITS = 22
+
+
+def may_hold(keys: DataFrame, name: str = "key") -> Callable[[Column], Column]:
+    """A test of a long column that is true for all `keys`(name: long, spread over all bits as hashes are), and false for most others.
+
+    Rows that fail it need no join with what has these keys, so they need not be shuffled. A table with very many keys fills
+    the filter, and then more rows are joined in vain.
+    """
+    count = keys.agg(F.approx_count_distinct(name)).first()[0]
+    bits = min(MOST_FILTER_BITS, max(10, (16 * count).bit_length()))
+    place = lambda key: F.shiftrightunsigned(key, 64 - bits)
+    low = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{name}`, {64 - bits}) % 32 AS INT))")
+    words = keys.select(F.shiftright(place(F.col(name)), 5).cast("int").alias("k"), low.alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
+    found = bytearray(1 << bits - 3)
+    for k, b in words.collect():
+        found[4 * k : 4 * k + 4] = b.to_bytes(4, "little")
+    held = F.lit(bytes(found))
+
+    def test(key: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(held, (F.shiftright(place(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        return F.getbit(byte, (place(key) % 8).cast("int")) == 1
+
+    return test
+
+
+def without(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key, a long and no null, is not in `keys`(key). Only rows that may have one of the keys are shuffled."""
+    test, marked = may_hold(keys), rows.withColumn("__key", key)
+    rest = marked.filter(test(F.col("__key"))).join(keys.select(F.col("key").alias("__key")), "__key", "left_anti")
+    return marked.filter(~test(F.col("__key"))).union(rest.select(*[column(c) for c in marked.columns])).drop("__key")

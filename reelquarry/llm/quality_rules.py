@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, written
+from .common import column, may_hold, written
 
 #: White space that parts words, as a class of a regular expression and as characters.
 _WHITE, _WHITE_CHARS = "[\\x20\\x09-\\x0D]+", " \t\n\x0b\x0c\r"
@@ -15,8 +15,8 @@ _SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 5
 #: A text with fewer words fails, and so does one of whose words more than this percentage are in repeated windows.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
-#: A line goes if more than this share of its host's distinct texts, and more texts than this, have it.
-MOST_SHARE, MOST_TEXTS = 0.25, 10
+#: A line goes if more of its host's distinct texts than this have it, and more than this share of them: none, by default.
+MOST_TEXTS, MOST_SHARE = 10, 0.0
 #: A text is depleted if what stays has fewer than LEAST_WORDS words or less than this share of them.
 LEAST_LEFT = 0.3
 
@@ -27,7 +27,9 @@ def _words(text: Column) -> Column:
 
 
 def _line_hash(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.btrim(line, F.lit(_WHITE_CHARS))))
+    """A hash of the line in lower case, with one space for white space and 0 for any digit, so that dates and counters make no other line."""
+    folded = F.translate(F.btrim(line, F.lit(_WHITE_CHARS)), "123456789", "000000000")
+    return F.xxhash64(F.lower(F.regexp_replace(folded, _WHITE, " ")))
 
 
 def _repeated_words(hashes: Column) -> Column:
@@ -96,7 +98,8 @@ def frequent_lines(
 ) -> DataFrame:
     """(host, text_hash, frequent: hashes of the text's lines that are above the limits of its host); texts without such lines have no row.
 
-    Texts that are equal count once, so that a group of copies is not taken for a template. A line's texts are made
+    Texts that are equal count as one document, so that a group of copies is not taken for a template: by rows, each line of
+    a text with more than ten copies would go, and with it every copy, also the one that deduplication is to keep. A line's texts are made
     distinct by (host, line, text) before they are counted, so a line of a third of all rows is spread over all tasks.
     Lines above the limits go back to their texts by (host, line), so a host may have any number of them.
     """
@@ -135,20 +138,25 @@ def quality_rules(
     named in `keep` are ignored, whatever their names. `keep` must not name a column of the result.
     """
     frequent = frequent_lines(docs, text_col, host_col, most_share, most_texts)
-    rows = text_measures(docs, id_col, text_col, host_col, keep).drop("lines")
-    rows = rows.withColumn("text_hash", F.xxhash64("text")).join(frequent, ["host", "text_hash"], "left")
+    # texts without a frequent line, most of them, stay where they are
+    text, host = F.coalesce(column(text_col).cast("string"), F.lit("")), F.coalesce(column(host_col).cast("string"), F.lit(""))
+    test = may_hold(frequent.select(F.xxhash64("host", "text_hash").alias("key")))
+    key = F.xxhash64(host, F.xxhash64(text))
+    some = text_measures(docs.filter(test(key)), id_col, text_col, host_col, keep).drop("lines").withColumn("text_hash", F.xxhash64("text")).join(frequent, ["host", "text_hash"], "left")
     is_frequent = lambda line: F.array_contains("frequent", _line_hash(line))
     removed = F.aggregate(
         F.filter(_text_lines(F.col("text")), is_frequent), F.lit(0).cast("long"), lambda n, line: n + F.size(_words(line)).cast("long")
     )
-    rows = rows.withColumn("n_removed_words", F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(removed))
     clean = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~is_frequent(line)), "\n")
+    some = some.withColumn("n_removed_words", F.when(F.col("frequent").isNull(), F.lit(0).cast("long")).otherwise(removed))
+    some = some.withColumn("clean_text", F.when(F.col("n_removed_words") == 0, F.col("text")).otherwise(clean)).drop("frequent", "text_hash")
+    rest = text_measures(docs.filter(~test(key)), id_col, text_col, host_col, keep).drop("lines")
+    rows = rest.select("*", F.lit(0).cast("long").alias("n_removed_words"), F.col("text").alias("clean_text")).unionByName(some)
     left = F.col("n_words") - F.col("n_removed_words")
     rows = rows.select(
         "*",
         ((F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)).alias("base_failed"),
         ((F.col("n_removed_words") > 0) & ((left < LEAST_WORDS) | (left < F.col("n_words") * F.lit(LEAST_LEFT)))).alias("depleted"),
-        F.when(F.col("n_removed_words") == 0, F.col("text")).otherwise(clean).alias("clean_text"),
     )
     return rows.select(
         F.col("id").alias(id_col),

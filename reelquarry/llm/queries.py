@@ -157,14 +157,11 @@ WITH docs AS (
         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
     FROM documents
 ), lines AS (
-    SELECT r, host, text, line, lower(trim(line, e' \t\n\x0b\x0c\r')) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+    SELECT r, host, text, line, lower(regexp_replace(regexp_replace(trim(line, e' \t\n\x0b\x0c\r'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
     FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), frequent AS (
-    SELECT l.host, l.norm
-    FROM (SELECT host, norm, count(DISTINCT text) AS n FROM lines GROUP BY ALL) l
-    JOIN (SELECT host, count(DISTINCT text) AS texts FROM docs GROUP BY ALL) h ON l.host = h.host
-    WHERE n > 10 AND n > texts * 0.25
+    SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT text) > 10
 ), removed AS (
     SELECT r, sum(words) AS n FROM lines JOIN frequent USING (host, norm) GROUP BY r
 ), duplicate AS (

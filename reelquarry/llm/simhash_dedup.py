@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, prepare, utf8, written
+from .common import column, may_hold, prepare, utf8, written
 from .components import connected_components
 from .golay import fuzzy_indices
 
@@ -198,10 +198,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash) of one row of each component: that with the smallest id, then the smallest hash; null ids come last."""
-    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
+def representatives(prints: DataFrame) -> DataFrame:
+    """(id, text_hash) of one row of each component of fingerprints(): that with the smallest id, then the smallest hash; null ids come last."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     first = prints.groupBy("fp").agg(F.min(order).alias("row"))
     chosen = first.join(_rooted(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
     return written(chosen.select("row.id", "row.text_hash"), "representatives")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, one of each component: that of representatives(), and of repeated rows any one. All columns stay.
+
+    Rows whose id and text are neither repeated nor dropped stay where they are, so only the others' texts are shuffled.
+    """
+    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    first = representatives(prints).select("id", "text_hash", F.lit(True).alias("chosen"))
+    keys = prints.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    judged = keys.join(first, keys["id"].eqNullSafe(first["id"]) & (keys["text_hash"] == first["text_hash"]), "left")
+    judged = judged.select(keys["id"].alias("__id"), keys["text_hash"].alias("__text"), F.coalesce("chosen", F.lit(False)).alias("__chosen"), "n")
+    special = written(judged.filter("NOT __chosen OR n > 1").drop("n"), "special")
+    test = may_hold(special.select(F.xxhash64("__id", "__text").alias("key")))
+    rows = docs.withColumns({"__own": column(id_col).cast("long"), "__hash": text_hash(text_col)})
+    met = test(F.xxhash64("__own", "__hash"))
+    joined = rows.filter(met).join(special, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
+    others = joined.filter("__chosen IS NULL")
+    once = joined.filter("__chosen").dropDuplicates(["__own", "__hash"])
+    out = rows.filter(~met)
+    for more in (others, once):
+        out = out.union(more.select(*[column(c) for c in out.columns]))
+    return out.drop("__own", "__hash")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reelquarry.llm.components import connected_components
 from reelquarry.llm.golay import fuzzy_indices, nearest
-from reelquarry.llm.simhash_dedup import bucket_links, fingerprint, near_duplicates, representatives
+from reelquarry.llm.simhash_dedup import bucket_links, fingerprint, near_duplicates, one_of_each
 
 SCHEMA = "doc_id long, text string, lang string, fp long, `a.b` int"
 
@@ -90,5 +90,20 @@ def test_near_duplicates(spark):
         least[r] = min(least.get(r, 10**9), i if i is not None else 10**9)
     want = sorted((str(i), f"{prints[t]:016x}", least[root[prints[t]]]) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in got) == want
-    assert representatives(df).count() == len(least)
+    chosen = [(r["doc_id"], r["text"]) for r in one_of_each(df).collect()]
+    assert len(chosen) == len(least) == len({root[prints[t]] for _, t in chosen})
+    assert all((10**9 if i is None else i) == least[root[prints[t]]] for i, t in chosen) and one_of_each(df).columns == df.columns
+    assert one_of_each(df.limit(0)).collect() == []
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_filter_of_keys(spark):
+    from reelquarry.llm.common import may_hold, without
+
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    keys = rows.filter("id % 7 = 0").select(F.col("h").alias("key"))
+    test = may_hold(keys)
+    assert rows.filter("id % 7 = 0").filter(~test(F.col("h"))).count() == 0
+    assert rows.filter("id % 7 > 0").filter(test(F.col("h"))).count() < 500
+    assert sorted(r["id"] for r in without(rows, F.col("h"), keys).collect()) == [k for k in range(3000) if k % 7]
+    assert without(rows, F.col("h"), keys.limit(0)).count() == 3000
