@@ -6,54 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquarry.llm import language_id
-from reelquarry.llm.common import written
+from reelquarry.llm.common import without, written
 from reelquarry.llm.decontaminate import decontaminate
 from reelquarry.llm.piece_lattice import encode_documents
 from reelquarry.llm.quality_rules import quality_rules
-from reelquarry.llm.simhash_dedup import representatives, text_hash
+from reelquarry.llm.simhash_dedup import one_of_each, text_hash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: those without a letter, or far from every centroid, go."""
+    """Documents whose language is recognised: those without a letter (null and empty ones too), or far from every centroid, go. Rows are judged by their text, whatever their id."""
     rest = tuple(c for c in COLUMNS if c != "doc_id")
     found = language_id.identify_language(docs, language_id.fit(docs), keep=rest)
     return found.filter("NOT rejected").select(*COLUMNS)
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without lines that more than MOST_TEXTS distinct texts of their source have, however large it is."""
-    found = quality_rules(docs, most_share=0.0, keep=("lang", "source")).filter("kept")
+    """Documents that the rules keep, without lines that more than MOST_TEXTS distinct texts of their source have. Null sources are one source."""
+    found = quality_rules(docs, keep=("lang", "source")).filter("kept")
     text = F.col("clean_text")
     return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates: that with the smallest doc_id, then text hash; of repeated rows any one."""
-    first = representatives(docs)
-    rows = docs.withColumn("__hash", text_hash("text"))
-    chosen = rows.join(first, rows["doc_id"].eqNullSafe(first["id"]) & (rows["__hash"] == first["text_hash"]), "left_semi")
-    repeated = written(chosen.groupBy("doc_id", "__hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
-    if repeated.isEmpty():
-        return chosen.select(*COLUMNS)
-    same = chosen["doc_id"].eqNullSafe(repeated["doc_id"]) & (chosen["__hash"] == repeated["__hash"])
-    once = chosen.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return chosen.join(repeated, same, "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+    return one_of_each(docs).select(*COLUMNS)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth stand in benchmark windows."""
-    # the verdict follows from the text alone, so rows go by their text: ids may be null or repeated
+    """Documents of whose words less than a twentieth stand in benchmark windows. Rows go by their text, as ids may be null or repeated."""
     rows = docs.withColumn("__hash", text_hash("text"))
     found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__hash")
-    # contaminated documents are few beside the corpus; Spark broadcasts their hashes only if the table is small enough
-    gone = written(found.filter("contaminated").select("__hash").distinct(), "contaminated")
-    return rows.join(gone, "__hash", "left_anti").select(*COLUMNS)
+    gone = written(found.filter("contaminated").select(F.col("__hash").alias("key")).distinct(), "contaminated")
+    return without(rows, F.col("__hash"), gone).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best pieces of each document, what the next best change, and whether decoding gives the text again."""
+    """The best pieces of each document, what the next best change, and whether decoding gives the text again. Each row gets one, also of repeated ids."""
     return encode_documents(docs, keep=("lang", "source", "n_chars"))
 
 
