@@ -45,11 +45,15 @@ def _spread(found: re.Match, change: Callable[[str], str]) -> str:
 
 def escape(text: str) -> str:
     """Put one more backslash after the first character of each control string, so that none is left as it was."""
+    if "<" not in text and "[" not in text:  # where all control strings begin
+        return text
     return _CONTROL.sub(lambda m: _spread(m, lambda s: s + "\\"), text)
 
 
 def unescape(text: str) -> str:
     """Take one backslash away where escape() put it."""
+    if "\\" not in text:
+        return text
     return _CONTROL.sub(lambda m: _spread(m, lambda s: s[1:]), text)
 
 
@@ -193,11 +197,12 @@ def format_conversations(
     )
 
 
-def read_back(windows: DataFrame) -> DataFrame:
+def read_back(windows: DataFrame, together: bool = False) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows) from formatted windows alone.
 
     Turns that a window repeats are skipped. The digests are of role, newline, text, newline per turn, and of the texts under
-    the loss mask; formatted_chars counts the code points of all windows of a conversation.
+    the loss mask; formatted_chars counts the code points of all windows of a conversation. together: each conversation's
+    windows are in one partition already, in order, as format_conversations() leaves them; else they are shuffled.
     """
     schema = pa.schema(
         [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()),
@@ -228,7 +233,9 @@ def read_back(windows: DataFrame) -> DataFrame:
         if now:
             yield to_batch([done(now)], schema)
 
-    rows = windows.select("conv_id", "window", "n_repeated", "formatted", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    rows = windows.select("conv_id", "window", "n_repeated", "formatted", "loss_spans")
+    if not together:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
     return rows.mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
     )

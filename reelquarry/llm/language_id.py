@@ -105,18 +105,20 @@ def fit(
 ) -> Model | None:
     """A model from rows with a language whose crc32 fold is not 0; None if no such row has a letter.
 
-    At most `sample_rows` rows of a language, chosen by a hash of the id, are learned from; their vectors come to the driver.
+    At most `sample_rows` rows of a language, chosen by a hash of id and text, are learned from; rows with equal hashes are
+    one. Their vectors come to the driver.
     """
     prepare(docs.sparkSession)
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & (fold(F.col("id")) != 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = 1 << 30
+    rows = rows.withColumn("order", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"), F.lit(parts)))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")).collect()}
     if not counts:
         return None
-    parts = 1 << 30
-    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(parts, int(1 + parts * 1.2 * (sample_rows + 20) / n)))])
-    chosen = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(parts))
-    sample = rows.withColumn("order", chosen).filter(F.col("order") < limit[F.col("lang")]).select("lang", "order", "text")
+    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(parts, int(1 + parts * 1.3 * (sample_rows + 20) / max(1, n))))])
+    # copies that share an id would all be chosen together, so they count once
+    sample = rows.filter(F.col("order") < limit[F.col("lang")]).select("lang", "order", "text").dropDuplicates(["lang", "order"])
     schema = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("counts", pa.binary())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +155,7 @@ def identify_language(docs: DataFrame, model: Model | None, id_col: str = "doc_i
 
     lang_pred is `und` with score 0, and rejected, for texts that are null or have no letter (and for all if there is no
     model). Other texts get the language of the nearest centroid, and are rejected if that is farther than its language's
-    limit. Equal texts get equal results; repeated rows and ids each get a row. Other columns are ignored, whatever
+    limit; of equally near ones that whose language comes first by name. Equal texts get equal results; repeated rows and ids each get a row. Other columns are ignored, whatever
     their names; `keep` must not name a column of the result.
     """
     prepare(docs.sparkSession)

@@ -39,7 +39,7 @@ def op2_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     """What the formatted windows of every conversation, and of one that holds control strings, say when they are read back."""
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(more), count=piece_tokens(MODEL_PATH)))
+    return read_back(format_conversations(turns.unionByName(more), count=piece_tokens(MODEL_PATH)), together=True)
 
 
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:

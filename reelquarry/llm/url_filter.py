@@ -16,15 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import column, prepare
 
-#: URLs that are sampled for the split points, at most; they come to the driver.
-SPLIT_SAMPLE = 4000
-#: Ranges of keys, at most.
-MOST_RANGES = 2048
+#: URLs that are sampled for a split point; they come to the driver.
+SPLIT_SAMPLE = 100
 #: The verdict where no rule fits.
 DEFAULT_VERDICT = "allow"
 
-#: Ends a host's label in a key. It sorts below every character of a host.
-_END, _HIGH = "\x01", "\U0010ffff"
+#: Ends a host's label in a key, where this character and the one that escapes it are escaped; and what sorts above all others.
+_END, _ESCAPE, _HIGH = "\x01", "\x02", "\U0010ffff"
 
 
 def host_of(url: Column) -> Column:
@@ -40,7 +38,8 @@ def path_of(url: Column) -> Column:
 
 def host_key(host: Column) -> Column:
     """The labels in reverse order, each with an end mark."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), _END), F.lit(_END))
+    plain = F.replace(F.replace(host, F.lit(_ESCAPE), F.lit(_ESCAPE * 2)), F.lit(_END), F.lit(_ESCAPE + "\x03"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), _END), F.lit(_END))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], splits: list[str]) -> Iterator[pa.RecordBatch]:
@@ -57,31 +56,44 @@ def _deal(batches: Iterator[pa.RecordBatch], splits: list[str]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *dealt.columns[1:]], dealt.schema.names)
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by range and key: a rule goes on the stack, a URL takes the longest rule on it whose path starts its own.
+class _Host:
+    """The rules of a host on the stack, by path. A path's prefixes are looked up by the lengths that there are, the longest first."""
 
-    The stack holds [host key, [(length, path, rule, verdict), longest first]] for hosts that contain one another.
-    """
-    stack: list[tuple[str, list[tuple[int, str, str, str]]]] = []
+    def __init__(self, key: str) -> None:
+        self.key, self.rules = key, {}
+        self.lengths: list[int] | None = None
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        self.rules[path] = max(self.rules.get(path, (rule, verdict)), (rule, verdict))
+        self.lengths = None
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        if self.lengths is None:
+            self.lengths = sorted({len(p) for p in self.rules}, reverse=True)
+        for n in self.lengths:
+            if n <= len(path) and (found := self.rules.get(path[:n])):
+                return found
+        return None
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by range and key: a rule's host goes on the stack, whose hosts contain one another; a URL takes the longest rule on it whose path starts its own."""
+    stack: list[_Host] = []
     now = None
     for batch in batches:
         out: list[tuple] = []
         for part, key, name, host, path, rule, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if part != now:
                 now, stack = part, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if rule is not None:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((len(rule), path, rule, verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(_Host(key))
+                stack[-1].add(path, rule, verdict)
                 continue
-            best = None
-            for _, rules in stack:
-                for one in rules:
-                    if path.startswith(one[1]) and (best is None or (one[0], one[2]) >= (best[0], best[2])):
-                        best = one
-            out.append((name, host, path, best[2] if best else None, best[3] if best else None))
+            best = max((found for h in stack if (found := h.longest(path))), key=lambda f: (len(f[0]), f[0]), default=(None, None))
+            out.append((name, host, path, *best))
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64() if k == 0 else pa.string()) for k, c in enumerate(zip(*out, strict=True))],
@@ -95,9 +107,10 @@ def filter_urls(
     """(id column, host, path, rule, verdict) for each row of `urls`, under `rules`(host, path, verdict: strings).
 
     A rule fits its host and all subdomains if the URL's path starts with the rule's; the longest rule, as host and path
-    together, wins, and of equally long ones the last in order. Its name is host and path. Without a rule that fits, rule is
+    together, wins, and of equally long ones the last in order; of one rule's verdicts the last in order. Its name is host and path. Without a rule that fits, rule is
     null and the verdict `default`. Null URLs and those without `://` have an empty host and path, which no rule fits;
-    rules with a null part or an empty host are left out. Hot hosts are split, since paths and ids belong to the sort key.
+    rules with a null part or an empty host are left out. Hot hosts and URLs are split, since paths and ids
+    belong to the sort key; rows without an id that share a URL are not.
     Repeated rows and ids each get a row, an empty table an empty result; other columns are ignored, whatever their names.
     """
     prepare(urls.sparkSession)
@@ -107,7 +120,7 @@ def filter_urls(
     key = F.concat(host_key(F.col("host")), F.lit("/"), "path", F.lit(_END), F.hex(F.xxhash64("id")))
     rows = rows.withColumn("key", key)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splits = _split_points(rows, min(ranges, MOST_RANGES))
+    splits = _split_points(rows, ranges)
 
     known = rules.select("host", "path", "verdict").dropna().filter("host != ''").distinct()
     known = known.select(F.lit(0).alias("part"), host_key(F.col("host")).alias("key"), F.lit(None).cast("long").alias("id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
@@ -125,7 +138,8 @@ def _split_points(rows: DataFrame, ranges: int) -> list[str]:
     if ranges < 2:
         return []
     count = rows.count()
-    share = min(1.0, SPLIT_SAMPLE / max(1, count))
+    size = SPLIT_SAMPLE * ranges
+    share = min(1.0, size / max(1, count))
     chosen = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) <= int(share * (1 << 20))
-    keys = sorted(r["key"] for r in rows.filter(chosen).select("key").limit(2 * SPLIT_SAMPLE).collect())
+    keys = sorted(r["key"] for r in rows.filter(chosen).select("key").limit(2 * size).collect())
     return sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if len(keys) >= ranges else []

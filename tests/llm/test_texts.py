@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from itertools import product
 
 import numpy as np
@@ -161,6 +162,7 @@ def test_chat(spark):
         assert r["n_turns"] == len(own)
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own).encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert sorted(map(str, read_back(windows, together=True).collect())) == sorted(map(str, got.values()))
     for w in windows.collect():
         turns = turns_of(w["formatted"])
         assert len(turns) == w["n_repeated"] + w["n_new"]
@@ -186,6 +188,30 @@ def test_language(spark, hard):
     assert language_id.fit(df.limit(0)) is None and language_id.identify_language(hard, None).filter("lang_pred = 'und'").count() == len(HARD)
 
 
+def slow_judgement(model, text):
+    """Language and cosine of a text, from its n-grams' counts, one centroid at a time."""
+    grams = language_id.gram_counts(text)
+    vector = [float(np.log1p(c)) * float(w) for c, w in zip(grams, model.idf, strict=True)]
+    norm = sum(v * v for v in vector) ** 0.5
+    found = [(sum(v / norm * float(c) for v, c in zip(vector, centre, strict=True)), model.languages[k]) for centre, k in zip(model.centroids, model.owner, strict=True)]
+    return max(found, key=lambda f: f[0])
+
+
+def test_language_equals_plain_form(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1) and len(model.owner) <= 3 * len(model.languages)
+    some = docs.filter("length(text) > 50").orderBy("doc_id").limit(25)
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    for r in language_id.identify_language(some, model).collect():
+        cosine, lang = slow_judgement(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["cosine"] - cosine) < 1e-4
+    own = next(k for k in range(9) if zlib.crc32(str(k).encode()) % 5)
+    copies = spark.createDataFrame([(own, "kala moto nika", "xx")] * 3000 + [(k, "grz brzt szcz", "yy") for k in range(50)], "doc_id long, text string, lang string")
+    assert language_id.fit(copies, sample_rows=20).languages == ["xx", "yy"]
+    assert language_id.identify_language(docs.limit(0), model).collect() == []
+
+
 def test_language_counts_do_not_depend_on_chunks(monkeypatch):
     text = "Wörter, und  Zeichen! 12 ñandú" * 20
     whole = language_id.gram_counts(text)
@@ -213,8 +239,8 @@ def test_urls(spark, ranges):
     random.seed(6)
     hosts = ["".join(h) for h in product(["", "a.", "b.a.", "net.", "-a."], ["net", "example.net", "xnet", "org", "NET", "net:80"])]
     urls = [f"{s}{h}{p}" for s in ("http://", "x", "a://b://") for h in hosts for p in ("", "/", "/en/", "/en", "?/en/", "/fr/x#y", "//en/")]
-    urls += [None, "", "://", "http:///x", "http://\n/é"] + ["http://hot.net/en/1"] * 200
-    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("net", "/en/", "allow"), ("b.a.net", "", "allow"), ("org", "/fr/", "allow"), ("net", "/", "block")]
+    urls += ["http://net\x01evil/a", "http://a.net\x01evil/a", "http://\x02.net/", "http://x\x01.net/en/", None, "", "://", "http:///x", "http://\n/é"] + ["http://hot.net/en/1"] * 200
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("net", "/en/", "allow"), ("b.a.net", "", "allow"), ("org", "/fr/", "allow"), ("net", "/", "block"), ("net\x01evil", "/a", "block")]
     df = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
     known = spark.createDataFrame([*rules, (None, "/", "block"), ("", "/", "block")], "host string, path string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(df, known, ranges=ranges).collect()}
