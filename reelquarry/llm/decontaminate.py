@@ -113,7 +113,7 @@ def _bitmap(shingles: DataFrame) -> _Bitmap:
 def _windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, words, size, shingles) of each item's distinct windows: an item with fewer words is one window, one without words has none."""
     rows = benchmark.select(F.coalesce(column(id_col).cast("string"), F.lit("")).alias("item"), utf8(text_col).alias("text"))
-    schema = pa.schema([("item", pa.string()), ("words", pa.list_(pa.binary())), ("size", pa.int32()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("item", pa.string()), ("words", pa.string()), ("size", pa.int32()), ("shingles", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,13 +125,13 @@ def _windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 hashes = _shingle_hashes(_word_hashes(words), size).view(np.int64)
                 for a in range(0, len(words) - window + 1, 4096):  # a very long item in batches
                     starts = range(a, min(a + 4096, len(words) - window + 1))
-                    own = {tuple(words[s : s + window]): hashes[s : s + window - size + 1].tolist() for s in starts}
+                    own = {b" ".join(words[s : s + window]).decode(): hashes[s : s + window - size + 1].tolist() for s in starts}
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([item] * len(own), pa.string()), pa.array([list(w) for w in own], schema.field("words").type), pa.array([size] * len(own), pa.int32()), pa.array(list(own.values()), schema.field("shingles").type)],
+                        [pa.array([item] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array([size] * len(own), pa.int32()), pa.array(list(own.values()), schema.field("shingles").type)],
                         schema=schema,
                     )
 
-    return rows.mapInArrow(cut, "item string, words array<binary>, size int, shingles array<long>").distinct()
+    return rows.mapInArrow(cut, "item string, words string, size int, shingles array<long>").distinct()
 
 
 def _frequencies(docs: DataFrame, bitmap: _Bitmap) -> DataFrame:
@@ -153,9 +153,9 @@ def _frequencies(docs: DataFrame, bitmap: _Bitmap) -> DataFrame:
 def _candidates(docs: DataFrame, bitmap: _Bitmap | None) -> DataFrame:
     """(id, text_hash, n_words, found) for each document; found: its shingles that the bitmap has, with the words around them.
 
-    `around` are the words from `first` on that a window with the shingle at `place` could take.
+    `around` are the words from `first` on that a window with the shingle at `place` could take, with a space between them.
     """
-    one = pa.struct([("shingle", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("around", pa.list_(pa.binary()))])
+    one = pa.struct([("shingle", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("around", pa.string())])
     schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("found", pa.list_(one))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,22 +168,23 @@ def _candidates(docs: DataFrame, bitmap: _Bitmap | None) -> DataFrame:
                     reach = WINDOW_WORDS - size
                     for place, h in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         first = max(0, place - reach)
-                        own.append({"shingle": h, "place": place, "first": first, "around": words[first : place + size + reach]})
+                        own.append({"shingle": h, "place": place, "first": first, "around": b" ".join(words[first : place + size + reach]).decode()})
                 counts.append(len(words))
                 found.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(found, pa.list_(one))], schema=schema)
 
     return docs.select("id", "text_hash", "text").mapInArrow(
-        find, "id long, text_hash long, n_words long, found array<struct<shingle:long,place:long,first:long,around:array<binary>>>"
+        find, "id long, text_hash long, n_words long, found array<struct<shingle:long,place:long,first:long,around:string>>"
     )
 
 
 def _file(windows: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(shingle, offset, words, window) of distinct windows under their rarest shingle. One that no document has is necessary too, so such windows occur nowhere."""
+    """(shingle, offset, words, window, size) of distinct windows under their rarest shingle. One that no document has is necessary too, so such windows occur nowhere."""
     distinct = windows.select("words", "shingles").dropDuplicates(["words"]).select("words", F.xxhash64("words").alias("window"), F.posexplode("shingles").alias("offset", "shingle"))
     counted = distinct.join(frequency, "shingle", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "shingle", "offset")).alias("r")
-    return counted.groupBy("words", "window").agg(rarest).filter("r.n > 0").select("r.shingle", "r.offset", "words", "window")
+    found = counted.groupBy("words", "window").agg(rarest).filter("r.n > 0")
+    return found.select("r.shingle", "r.offset", "words", "window", F.size(F.split("words", " ")).alias("size"))
 
 
 def _covered(spans: Column) -> Column:
@@ -215,7 +216,7 @@ def decontaminate(
     else:
         shingles = windows.select(F.explode("shingles").alias("shingle"), "size")
         filed = written(_file(windows, _frequencies(rows, _bitmap(shingles))), "filed")
-        sized = filed.select("shingle", F.least(F.size("words"), F.lit(SHINGLE_WORDS)).alias("size"))
+        sized = filed.select("shingle", F.least("size", F.lit(SHINGLE_WORDS)).alias("size"))
         bitmap = None if filed.isEmpty() else _bitmap(sized)
     looked = written(_candidates(rows, bitmap), "looked")
     no_spans, no_items = F.array().cast("array<struct<start:long,end:long>>"), F.array().cast("array<string>")
@@ -225,10 +226,11 @@ def decontaminate(
         found = looked.filter("size(found) > 0").select("id", "text_hash", salt.alias("salt"), F.explode("found").alias("f")).select("id", "text_hash", "salt", "f.*")
         salted = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         # where the window would start and end bounds it; then all of its words must be there
-        begin, size = F.col("place") - F.col("offset"), F.size("words")
-        inside = (begin >= F.col("first")) & (begin + size <= F.col("first") + F.size("around"))
-        own = F.slice("around", F.greatest(F.lit(1), begin - F.col("first") + 1).cast("int"), size)
-        hits = found.join(salted, ["shingle", "salt"]).filter(inside & (own == F.col("words")))
+        begin, size, words = F.col("place") - F.col("offset"), F.col("size"), F.split("around", " ")
+        inside = (begin >= F.col("first")) & (begin + size <= F.col("first") + F.size(words))
+        own = F.array_join(F.slice(words, F.greatest(F.lit(1), begin - F.col("first") + 1).cast("int"), size), " ")
+        # sorted and merged at every size: what is filed grows with the benchmark, and with what documents have of it
+        hits = found.join(salted.hint("merge"), ["shingle", "salt"]).filter(inside & (own == F.col("words")))
         hits = written(hits.select("id", "text_hash", begin.alias("start"), (begin + size).alias("end"), "words", "window"), "hits")
         spans = hits.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
         of_items = hits.select("id", "text_hash", "words", "window").distinct().join(windows.select("item", "words", F.xxhash64("words").alias("window")), ["window", "words"])

@@ -142,7 +142,9 @@ def quality_rules(
     text, host = F.coalesce(column(text_col).cast("string"), F.lit("")), F.coalesce(column(host_col).cast("string"), F.lit(""))
     test = may_hold(frequent.select(F.xxhash64("host", "text_hash").alias("key")))
     key = F.xxhash64(host, F.xxhash64(text))
-    some = text_measures(docs.filter(test(key)), id_col, text_col, host_col, keep).drop("lines").withColumn("text_hash", F.xxhash64("text")).join(frequent, ["host", "text_hash"], "left")
+    some = text_measures(docs.filter(test(key)), id_col, text_col, host_col, keep).drop("lines").withColumn("text_hash", F.xxhash64("text"))
+    # sorted and merged at every size, as the frequent lines grow with the corpus
+    some = some.join(frequent.hint("merge"), ["host", "text_hash"], "left")
     is_frequent = lambda line: F.array_contains("frequent", _line_hash(line))
     removed = F.aggregate(
         F.filter(_text_lines(F.col("text")), is_frequent), F.lit(0).cast("long"), lambda n, line: n + F.size(_words(line)).cast("long")
