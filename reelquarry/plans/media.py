@@ -8,7 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -242,6 +242,10 @@ class Media:
 
     # deviations
 
+    def _disc_name(self) -> Column:
+        """`disc`, or of a set the name of the disc's file."""
+        return F.lit("disc") if len(self.listing.raw_paths) < 2 else F.element_at(F.split("path", "/"), -1)
+
     def deviations(self, scan: bool = False) -> DataFrame:
         """(stage, song_seq, sub_seq, location, reference, severity, message) of all checks; with scan, of damaged frames too."""
         song = F.concat(F.lit("song "), "number")
@@ -270,8 +274,9 @@ class Media:
             heard = self._copied().join(self.unknown_blocks(), ["song_seq", "group_seq", "ordinal"])
             add(heard, 5, "ordinal", place, "§2", 1, F.format_string("take 0x%04x: %d block(s) of unknown pattern are silent", "file_id", "n"))
         if scan and self.listing.raw_paths:
-            runs = grouping.runs(corrupt_frames(self.spark, self.listing.raw_paths), "frame", ["path"]).withColumn("song_seq", F.lit(-1).cast("long"))
-            add(runs, 0, "low", F.lit("disc"), "§10", 2, F.format_string("corrupt frames %d-%d (%d)", "low", "high", "n"))
+            runs = grouping.runs(corrupt_frames(self.spark, self.listing.raw_paths), "frame", ["path", "unreadable"]).withColumn("song_seq", F.lit(-1).cast("long"))
+            what = F.when(F.col("unreadable"), "unreadable").otherwise("corrupt")
+            add(runs, 0, "low", self._disc_name(), "§10", 2, F.format_string("%s frames %d-%d (%d)", what, F.col("low"), F.col("high"), F.col("n")))
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)

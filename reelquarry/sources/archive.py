@@ -296,7 +296,7 @@ def _identify(out: Listing, song: dict, layout: Layout) -> None:
 
 
 def corrupt_frames(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, frame) of raw frames whose error-detection code doesn't fit."""
+    """(path, frame, unreadable) of raw frames whose error-detection code doesn't fit, or that cannot be read."""
     from .edc import bad_frames
 
     rows = [(p, file_size(p)) for p in paths]

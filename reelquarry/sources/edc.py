@@ -33,17 +33,24 @@ def code_of(frames: np.ndarray) -> np.ndarray:
 
 
 def bad_frames(ranges: DataFrame) -> DataFrame:
-    """(path, frame) from `ranges`(path, offset, data) that start and end at frames."""
+    """(path, frame, unreadable) from `ranges`(path, offset, length, data) that start and end at frames: frames whose code doesn't fit, and all of a range whose data is null."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, numbers = [], []
-            for path, offset, data in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("path", "offset", "data")), strict=True):
+            paths, numbers, lost = [], [], []
+            for path, offset, length, data in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("path", "offset", "length", "data")), strict=True):
+                if data is None:
+                    bad = range(offset // FRAME, (offset + length) // FRAME)
+                    paths += [path] * len(bad)
+                    numbers += bad
+                    lost += [True] * len(bad)
+                    continue
                 frames = np.frombuffer(data[: len(data) // FRAME * FRAME], np.uint8).reshape(-1, FRAME)
                 stored = frames[:, COVERED : COVERED + 4].copy().view("<u4")[:, 0]
                 bad = np.nonzero(code_of(frames[:, :COVERED]) != stored)[0] + offset // FRAME
                 paths += [path] * len(bad)
                 numbers += bad.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(numbers, pa.int64())], ["path", "frame"])
+                lost += [False] * len(bad)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(numbers, pa.int64()), pa.array(lost, pa.bool_())], ["path", "frame", "unreadable"])
 
-    return ranges.mapInArrow(check, "path string, frame long")
+    return ranges.mapInArrow(check, "path string, frame long, unreadable boolean")

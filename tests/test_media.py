@@ -131,6 +131,15 @@ def test_damaged_frames_and_missing_filler(spark, tmp_path):
     assert media.catalog().count() == 1
 
 
+def test_frames_that_cannot_be_read_are_reported(spark):
+    from reelquarry.sources.edc import bad_frames
+
+    good = builder.raw(bytes(4 * 2048))
+    rows = [("a", 0, len(good), good), ("a", 4 * 2352, 3 * 2352, None), ("b", 0, 2 * 2352, good[:2000] + b"!" + good[2001 : 2 * 2352])]
+    got = bad_frames(spark.createDataFrame(rows, "path string, offset long, length long, data binary")).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 4, True), ("a", 5, True), ("a", 6, True), ("b", 0, False)]
+
+
 def test_set_of_two_discs(spark, tmp_path):
     songs = [make(1, "SPAN", "VR9", 3, 4), make(2, "SOLO", "VR9", 3, 5)]
     stream = builder.archive_stream(songs)
