@@ -9,7 +9,9 @@ from .common import column, may_hold, written
 
 #: White space that parts words, as a class of a regular expression and as characters.
 _WHITE, _WHITE_CHARS = "[\\x20\\x09-\\x0D]+", " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+#: White space inside a line that is not a single space already.
+_UNEVEN = "[\\x20\\x09\\x0B-\\x0D]{2,}|[\\x09\\x0B-\\x0D]"
+_NO_SYMBOLS = "[^#*$%&|<>]+"
 
 #: Words of a window in the count of repeated words.
 WINDOW_WORDS = 5
@@ -32,6 +34,22 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(folded, _WHITE, " ")))
 
 
+def _line_hashes(text: Column) -> Column:
+    """_line_hash() of each line that holds a word, once each. The text is folded whole, which costs less than line by line."""
+    folded = F.lower(F.regexp_replace(F.regexp_replace(text, "[1-9]", "0"), _UNEVEN, " "))
+    lines = F.filter(F.transform(F.split(folded, "\n"), lambda line: F.btrim(line, F.lit(" "))), lambda line: line != "")
+    return F.array_distinct(F.transform(lines, lambda line: F.xxhash64(line)))
+
+
+def _window_hashes(rows: DataFrame) -> DataFrame:
+    """`rows` with `windows`: a hash of each window's words, from hashes of words that are made once, as a column."""
+    count = F.greatest(F.lit(0), F.col("n_words").cast("int") - (WINDOW_WORDS - 1))
+    rows = rows.withColumn("hashes", F.transform("words", lambda word: F.xxhash64(word)))
+    later = lambda i: [F.get(F.col("hashes"), i + k) for k in range(1, WINDOW_WORDS)]
+    windows = F.transform(F.slice("hashes", F.lit(1), count), lambda first, i: F.xxhash64(first, *later(i)))
+    return rows.withColumn("windows", windows).drop("hashes")
+
+
 def _repeated_words(hashes: Column) -> Column:
     """How many words stand in windows whose hash occurs twice or more; hashes: of the windows, in order."""
     by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -59,15 +77,7 @@ def text_measures(docs: DataFrame, id_col: str, text_col: str, host_col: str, ke
     )
     rows = rows.select("*", _words(F.col("text")).alias("words"), _text_lines(F.col("text")).alias("lines"))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    windows = F.when(
-        F.col("n_words") < WINDOW_WORDS, F.array().cast("array<bigint>")
-    ).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW_WORDS - 1)),
-            lambda i: F.xxhash64(F.slice(F.col("words"), i, WINDOW_WORDS)),
-        )
-    )
-    rows = rows.withColumn("windows", windows)
+    rows = _window_hashes(rows)
     length = lambda c: F.length(c).cast("long")
     return rows.select(
         "id",
@@ -76,8 +86,8 @@ def text_measures(docs: DataFrame, id_col: str, text_col: str, host_col: str, ke
         "text",
         "lines",
         "n_words",
-        length(F.translate("text", _WHITE_CHARS, "")).alias("word_chars"),
-        (length("text") - length(F.translate("text", _SYMBOLS, ""))).alias("n_symbols"),
+        length(F.array_join("words", "")).alias("word_chars"),
+        length(F.regexp_replace("text", _NO_SYMBOLS, "")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long"))
         .otherwise(_repeated_words(F.col("windows")))
@@ -104,7 +114,7 @@ def frequent_lines(
     Lines above the limits go back to their texts by (host, line), so a host may have any number of them.
     """
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
-    hashes = F.array_distinct(F.transform(_text_lines(text), _line_hash))
+    hashes = _line_hashes(text)
     per_text = docs.select(
         F.coalesce(column(host_col).cast("string"), F.lit("")).alias("host"),
         F.xxhash64(text).alias("text_hash"),
