@@ -471,6 +471,19 @@ def test_marking_tokens_are_of_distinct_texts_and_all_kept(spark, monkeypatch):
     assert many <= set(marks([f"{' '.join(sorted(many))} own{k}" for k in range(60)]))
 
 
+def test_quality_counts_words_of_repeated_windows(spark):
+    """Against brute force, on texts whose words repeat much more often than their windows."""
+    rng, texts = random.Random(5), []
+    for size in range(60):
+        texts.append(" ".join(rng.choice("abcdef"[: 2 + size % 5]) for _ in range(3 * size)))
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")).collect()}
+    for k, text in enumerate(texts):
+        words = text.split()
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        hit = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
+        assert (got[k]["n_words"], got[k]["n_repeat_words"], got[k]["word_chars"]) == (len(words), len(hit), len("".join(words)))
+
+
 def test_quality_on_hard_rows(spark, hard):
     got = quality_rules(hard, keep=("lang",)).collect()
     assert len(got) == len(HARD)
